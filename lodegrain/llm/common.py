@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,27 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    sc = spark.sparkContext
+    if not any(os.path.basename(f) == "lodegrain.zip" for f in sc._python_includes):
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.path.join(tempfile.mkdtemp(prefix="lodegrain-"), "lodegrain.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(top, "lodegrain")):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, top))
+        sc.addPyFile(path)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from driver values without Python on the executors."""
     names = [p.strip().split()[0] for p in schema.split(",")]
@@ -97,4 +120,4 @@ def cumulative(values: list[float]) -> list[float]:
     return out
 
 
-__all__ = ["Scratch", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]
+__all__ = ["Scratch", "map_arrow", "ship", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]

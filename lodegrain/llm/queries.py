@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import fingerprint, sharding
+from . import fingerprint, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op4_packing": packing.op4,
         "op7_sharding": sharding.op7,
         "op9_document_fingerprints": fingerprint.op9,
+        "op10_warc": warc.op10,
     }
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, packing, sharding, warc
+from . import fingerprint, html_extract, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extract.op1,
         "op4_packing": packing.op4,
         "op7_sharding": sharding.op7,
         "op9_document_fingerprints": fingerprint.op9,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_extract, packing, sharding, warc
+from . import fingerprint, html_extract, jaccard, packing, sharding, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extraction": html_extract.op1,
         "op4_packing": packing.op4,
         "op7_sharding": sharding.op7,
+        "op8_ngram_jaccard_join": jaccard.op8,
         "op9_document_fingerprints": fingerprint.op9,
         "op10_warc": warc.op10,
     }

@@ -50,24 +50,30 @@ def _text_form() -> Column:
     return F.lower(F.concat(*equal, *counts, F.lpad(F.hex(F.col("runs")), 10, "0")))
 
 
-def _number(fp: Column, start: int, digits: int) -> Column:
-    return F.conv(F.substring(fp, start, digits), 16, 10).cast("long")
+def _lane(packed: str, word: int, lane: int) -> str:
+    return f"(shiftrightunsigned({packed}.c{word}, {20 * lane}) & 1048575)"
 
 
-def _vector(fp: Column) -> Column:
-    """The +-1 sums of a fingerprint: twice the count of a lane less the number of runs."""
-    runs = _number(fp, 8 * EQUAL + 15 * WORDS + 1, 10)
-    words = F.transform(F.sequence(F.lit(0), F.lit(3 * WORDS - 1)), lambda i: F.conv(F.substr(fp, F.lit(8 * EQUAL + 1) + i * 5, F.lit(5)), 16, 10).cast("double"))
-    return F.transform(words, lambda c: 2 * c - runs)
+def _measured(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, fingerprint, and packed: the counts, their sum and the square of the +-1 sums' length."""
+    lanes = [(k, j) for k in range(WORDS) for j in range(3)]
+    rows = rows.withColumn("own", F.struct(*(F.col(f"c{k}") for k in range(WORDS))))
+    rows = rows.withColumn("total", F.expr(" + ".join(_lane("own", k, j) for k, j in lanes)))
+    rows = rows.withColumn("square", F.expr(" + ".join(f"{_lane('own', k, j)} * {_lane('own', k, j)}" for k, j in lanes)))
+    length = 4.0 * F.col("square") - 4.0 * F.col("runs") * F.col("total") + float(LANES) * F.col("runs") * F.col("runs")
+    return rows.select(*keys, "fingerprint", F.struct(*(F.col(f"c{k}") for k in range(WORDS)), "runs", "total", length.alias("length")).alias("packed"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of runs that two fingerprints have in common, 0 to 1; equal fingerprints give 1, no runs 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    va, vb = _vector(a), _vector(b)
-    norm = F.sqrt(dot(va, va)) * F.sqrt(dot(vb, vb))
-    cosine = F.when(norm > 0, dot(va, vb) / norm).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+def likeness(a: str, b: str, same: Column) -> Column:
+    """Share of runs that two fingerprints have in common, 0 to 1, from their packed columns a and b.
+
+    same: whether the fingerprints are equal, which gives 1. A text without runs is like no other.
+    """
+    dot = F.expr(" + ".join(f"{_lane(a, k, j)} * {_lane(b, k, j)}" for k in range(WORDS) for j in range(3)))
+    n, m = F.col(f"{a}.runs"), F.col(f"{b}.runs")
+    product = 4.0 * dot - 2.0 * m * F.col(f"{a}.total") - 2.0 * n * F.col(f"{b}.total") + float(LANES) * n * m
+    norm = F.sqrt(F.col(f"{a}.length") * F.col(f"{b}.length"))
+    return F.when(same, F.lit(1.0)).when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), product / norm))).otherwise(F.lit(0.0))
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -82,7 +88,7 @@ def combine(a: str, b: str, sign: int = 1) -> str:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row for each distinct keys with column fingerprint; keys must tell the rows apart.
+    """One row for each distinct keys with columns fingerprint and packed; keys must tell the rows apart.
 
     Rows of one key must already lie in one partition for this to need no shuffle. A null text counts
     as empty, which is one empty paragraph. Lanes count exactly up to 2**20 runs of a text; beyond
@@ -92,7 +98,7 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     paragraphs = rows.select(*keys, F.explode(F.split(body, "\n")).alias("paragraph"))
     runs = paragraphs.select(*keys, "paragraph", F.posexplode_outer(F.regexp_extract_all("paragraph", F.lit(RUN), F.lit(0))).alias("pos", "run"))
     hashed = runs.select(*keys, "paragraph", "run", F.coalesce(F.col("pos") == 0, F.lit(True)).alias("first"), *(F.when(F.col("run").isNull(), F.lit(0)).otherwise(F.xxhash64(F.lit(seed), F.rtrim("run"))).alias(f"h{seed}") for seed in range(SEEDS)))
-    return hashed.groupBy(*keys).agg(*_sums("paragraph", "run", "first")).select(*keys, _text_form().alias("fingerprint"))
+    return _measured(hashed.groupBy(*keys).agg(*_sums("paragraph", "run", "first")).withColumn("fingerprint", _text_form()), keys)
 
 
 def neighbours(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -144,12 +150,12 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     ).select(*keys[:-1], "v.version", "v.body")
     found = fingerprints(both, keys, "body")
     order = Window.partitionBy("bucket").orderBy("number", "version")
-    ahead = lambda k: F.lead("fingerprint", k).over(order)
-    paired = found.select(*keys, "fingerprint", ahead(1).alias("edited_fingerprint"), ahead(2).alias("next_fingerprint")).filter("version = 0 and not guest")
+    own = found.withColumn("own", F.struct("fingerprint", "packed"))
+    paired = own.select(*keys, "fingerprint", "packed", F.lead("own", 1).over(order).alias("e"), F.lead("own", 2).over(order).alias("n")).filter("version = 0 and not guest")
     return paired.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("e.fingerprint").alias("edited_fingerprint"),
+        likeness("packed", "e.packed", F.col("fingerprint") == F.col("e.fingerprint")).alias("near_edited"),
+        likeness("packed", "n.packed", F.col("fingerprint") == F.col("n.fingerprint")).alias("near_next"),
     )
 
 

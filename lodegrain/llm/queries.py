@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_extract, jaccard, packing, sharding, warc
+from . import decontaminate, fingerprint, html_extract, jaccard, packing, sharding, warc
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1,
+        "op3_benchmark_decontamination": decontaminate.op3,
         "op4_packing": packing.op4,
         "op7_sharding": sharding.op7,
         "op8_ngram_jaccard_join": jaccard.op8,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_extract, jaccard, packing, sharding, substring, warc
+from . import decontaminate, fingerprint, html_extract, jaccard, packing, quality, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extraction": html_extract.op1,
         "op3_benchmark_decontamination": decontaminate.op3,
         "op4_packing": packing.op4,
+        "op5_quality_classifier": quality.op5,
         "op6_substring_dedup": substring.op6,
         "op7_sharding": sharding.op7,
         "op8_ngram_jaccard_join": jaccard.op8,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, html_extract, jaccard, packing, quality, sharding, substring, warc
+from . import decontaminate, fingerprint, html_extract, jaccard, lm_score, packing, quality, sharding, substring, warc
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html_extract.op1,
+        "op2_lm_scoring": lm_score.op2,
         "op3_benchmark_decontamination": decontaminate.op3,
         "op4_packing": packing.op4,
         "op5_quality_classifier": quality.op5,

@@ -1,4 +1,687 @@
 """Registered queries over the driver's tables, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import messages
+from ..operators import (
+    Decoder, Rule, all_or_nothing, bool_, check, combine, decimal_, decode, decode_column, discriminate, double_, enum_of, fail, field, float_, int_, iso8601, date_time,
+    lazy, list_, literal, long_, map2, map_, nested, nullable, one_of, optional_field, optional_nullable_field, recover, regroup, strict, string, traverse, with_default,
+)
+from ..operators import encode as E
+from ..operators import issues as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _counted(frame: DataFrame, decoder: Decoder, boundary: str = "object") -> DataFrame:
+    """Issues of a decoder by pointer, code and message."""
+    rows = decode(frame, decoder, boundary).frame.select(F.explode("issues").alias("i"))
+    return rows.select(I.pointer(F.col("i.path")).alias("pointer"), F.col("i.code").alias("code"), F.col("i.message").alias("message")).groupBy("pointer", "code", "message").agg(F.count("*").alias("n"))
+
+
+def _expected(source: str, *rules: tuple[str, str, str, str]) -> str:
+    """SQL of _counted: rules are (pointer, code, message, condition)."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return "\nUNION ALL\n".join(f"SELECT {quote(p)} AS pointer, {quote(c)} AS code, {quote(m)} AS message, count(*) AS n FROM {source} WHERE {w} HAVING count(*) > 0" for p, c, m, w in rules)
+
+
+def _range(pointer: str, message: str, condition: str) -> tuple[str, str, str, str]:
+    return pointer, "out_of_range", message, condition
+
+
+# ---------------------------------------------------------------- whole rows
+
+CUSTOMER = combine(
+    field("c_custkey", long_().min(1)),
+    field("c_name", string().trim().non_blank().max_length(100)),
+    field("c_acctbal", double_().non_negative()),
+    field("c_mktsegment", enum_of(["BUILDING", "FURNITURE"])),
+)
+
+
+@_query(
+    "decode_customer_issues",
+    """SELECT pointer, code, count(*) AS n FROM (
+SELECT '/c_custkey' AS pointer, 'out_of_range' AS code FROM customer WHERE c_custkey < 1
+UNION ALL SELECT '/c_name', 'blank' FROM customer WHERE trim(c_name) = ''
+UNION ALL SELECT '/c_name', 'too_long' FROM customer WHERE length(trim(c_name)) > 100
+UNION ALL SELECT '/c_acctbal', 'out_of_range' FROM customer WHERE c_acctbal < 0
+UNION ALL SELECT '/c_mktsegment', 'invalid_format' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) GROUP BY 1, 2""",
+)
+def _(spark, d):
+    return I.summary(decode(_table(spark, d, "customer"), CUSTOMER).frame)
+
+
+@_query(
+    "decode_customer_values",
+    """SELECT c_custkey, trim(c_name) AS c_name, c_acctbal, c_mktsegment FROM customer
+WHERE c_custkey >= 1 AND trim(c_name) <> '' AND length(trim(c_name)) <= 100 AND c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'FURNITURE')""",
+)
+def _(spark, d):
+    return decode(_table(spark, d, "customer"), CUSTOMER).valid()
+
+
+@_query("decode_customer_rejected", "SELECT c_custkey, CAST((c_custkey < 1) AS INT) + CAST((c_acctbal < 0) AS INT) + CAST((c_mktsegment NOT IN ('BUILDING', 'FURNITURE')) AS INT) AS n_issues FROM customer WHERE c_custkey < 1 OR c_acctbal < 0 OR c_mktsegment NOT IN ('BUILDING', 'FURNITURE')")
+def _(spark, d):
+    return decode(_table(spark, d, "customer"), CUSTOMER).rejected().select("c_custkey", F.size("issues").alias("n_issues"))
+
+
+# ---------------------------------------------------------------- numbers
+
+
+@_query(
+    "num_int",
+    _expected(
+        "part", _range("/p_size", "must be at least 10", "p_size < 10"), _range("/p_size", "must be at most 40", "p_size > 40"), _range("/p_size", "must be between 5 and 45", "p_size NOT BETWEEN 5 AND 45"),
+        _range("/p_size", "must be positive", "p_size <= 0"), _range("/p_size", "must be negative", "p_size >= 0"), _range("/p_size", "must be non-negative", "p_size < 0"), _range("/p_size", "must be non-positive", "p_size > 0"),
+        ("/p_size", "not_multiple_of", "must be a multiple of 3", "p_size % 3 <> 0"), ("/p_size", "not_allowed", "must be one of [1, 2, 3]", "p_size NOT IN (1, 2, 3)"),
+    ),
+)
+def _(spark, d):
+    n = int_()
+    rules = (n.min(10), n.max(40), n.range(5, 45), n.positive(), n.negative(), n.non_negative(), n.non_positive(), n.multiple_of(3), n.one_of(3, 1, 2))
+    return _counted(_table(spark, d, "part"), combine(*(field("p_size", r) for r in rules)))
+
+
+@_query(
+    "num_long",
+    _expected(
+        "lineitem", _range("/l_orderkey", "must be at least 100", "l_orderkey < 100"), _range("/l_orderkey", "must be at most 1000", "l_orderkey > 1000"), _range("/l_orderkey", "must be between 100 and 1000", "l_orderkey NOT BETWEEN 100 AND 1000"),
+        _range("/l_partkey", "must be positive", "l_partkey <= 0"), _range("/l_partkey", "must be negative", "l_partkey >= 0"), _range("/l_partkey", "must be non-negative", "l_partkey < 0"), _range("/l_partkey", "must be non-positive", "l_partkey > 0"),
+        ("/l_suppkey", "not_multiple_of", "must be a multiple of 7", "l_suppkey % 7 <> 0"), ("/l_suppkey", "not_allowed", "must be one of [1, 5]", "l_suppkey NOT IN (1, 5)"),
+    ),
+)
+def _(spark, d):
+    n = long_()
+    rules = [field("l_orderkey", r) for r in (n.min(100), n.max(1000), n.range(100, 1000))] + [field("l_partkey", r) for r in (n.positive(), n.negative(), n.non_negative(), n.non_positive())]
+    return _counted(_table(spark, d, "lineitem"), combine(*rules, field("l_suppkey", n.multiple_of(7)), field("l_suppkey", n.one_of(5, 1))))
+
+
+@_query(
+    "num_double",
+    _expected(
+        "lineitem", _range("/l_quantity", "must be at least 10.0", "l_quantity < 10"), _range("/l_quantity", "must be at most 40.5", "l_quantity > 40.5"), _range("/l_discount", "must be between 0.02 and 0.07", "l_discount NOT BETWEEN 0.02::DOUBLE AND 0.07::DOUBLE"),
+        _range("/l_tax", "must be positive", "l_tax <= 0"), _range("/l_tax", "must be negative", "l_tax >= 0"), _range("/l_tax", "must be non-negative", "l_tax < 0"), _range("/l_tax", "must be non-positive", "l_tax > 0"),
+        ("/l_quantity", "not_allowed", "must be one of [1.0, 2.0]", "l_quantity NOT IN (1, 2)"),
+    ),
+)
+def _(spark, d):
+    n = double_()
+    rules = [field("l_quantity", n.min(10.0)), field("l_quantity", n.max(40.5)), field("l_discount", n.range(0.02, 0.07))] + [field("l_tax", r) for r in (n.positive(), n.negative(), n.non_negative(), n.non_positive())]
+    return _counted(_table(spark, d, "lineitem"), combine(*rules, field("l_quantity", n.one_of(2.0, 1.0))))
+
+
+@_query("num_float", _expected("supplier", _range("/f", "must be non-negative", "s_acctbal::FLOAT < 0"), _range("/f", "must be at most 5000.0", "s_acctbal::FLOAT > 5000"), _range("/f", "must be between 0.0 and 100.0", "s_acctbal::FLOAT NOT BETWEEN 0 AND 100")))
+def _(spark, d):
+    n = float_()
+    rows = _table(spark, d, "supplier").select(F.col("s_acctbal").cast("float").alias("f"))
+    return _counted(rows, combine(field("f", n.non_negative()), field("f", n.max(5000.0)), field("f", n.range(0.0, 100.0))))
+
+
+@_query(
+    "num_decimal",
+    _expected(
+        "lineitem", ("/l_extendedprice", "invalid_scale", "too many decimal places (max 1)", "length(split_part(l_extendedprice::VARCHAR, '.', 2)) > 1"), _range("/l_extendedprice", "must be at least 5000", "l_extendedprice < 5000"),
+        _range("/l_extendedprice", "must be at most 50000", "l_extendedprice > 50000"), ("/l_quantity", "not_multiple_of", "must be a multiple of 5", "l_quantity::BIGINT % 5 <> 0"), _range("/l_quantity", "must be non-positive", "l_quantity > 0"),
+    ),
+)
+def _(spark, d):
+    n = decimal_()
+    return _counted(_table(spark, d, "lineitem"), combine(*(field("l_extendedprice", r) for r in (n.scale(1), n.min(5000), n.max(50000))), field("l_quantity", n.multiple_of(5)), field("l_quantity", n.non_positive())))
+
+
+@_query("num_narrowing", "SELECT count(*) FILTER (l_extendedprice <> floor(l_extendedprice)) AS refused, sum(trunc(l_extendedprice))::BIGINT AS cut FROM lineitem")
+def _(spark, d):
+    rows = _table(spark, d, "lineitem")
+    done = decode(rows, combine(recover(field("l_extendedprice", int_()), None), field("l_extendedprice", int_("java"))).named("exact", "cut")).frame
+    return done.agg(F.count_if(F.col("value.exact").isNull()).alias("refused"), F.sum(F.col("value.cut").cast("long")).alias("cut"))
+
+
+# ---------------------------------------------------------------- strings
+
+
+@_query(
+    "str_length",
+    _expected(
+        "part", ("/p_name", "too_short", "must be at least 12 characters", "length(p_name) < 12"), ("/p_name", "too_long", "must be at most 14 characters", "length(p_name) > 14"),
+        ("/p_type", "invalid_length", "must be exactly 5 characters", "length(p_type) <> 5"), ("/p_brand", "blank", "must not be blank", "trim(p_brand) = ''"), ("/p_brand", "too_short", "tiny", "length(p_brand) < 8"),
+    ),
+)
+def _(spark, d):
+    s = string()
+    return _counted(_table(spark, d, "part"), combine(field("p_name", s.min_length(12)), field("p_name", s.max_length(14)), field("p_type", s.fixed_length(5)), field("p_brand", s.non_blank()), field("p_brand", s.min_length(8, "tiny"))))
+
+
+@_query(
+    "str_match",
+    _expected(
+        "orders", ("/o_orderpriority", "invalid_format", 'must start with "1"', "NOT starts_with(o_orderpriority, '1')"), ("/o_orderpriority", "invalid_format", 'must end with "H"', "NOT ends_with(o_orderpriority, 'H')"),
+        ("/o_orderpriority", "invalid_format", 'must include "-"', "NOT contains(o_orderpriority, '-')"), ("/o_orderpriority", "invalid_format", "invalid format", "NOT regexp_full_match(o_orderpriority, '[1-3]-[A-Z]+')"),
+        ("/o_orderstatus", "not_allowed", "must be one of [F, O]", "o_orderstatus NOT IN ('F', 'O')"), ("/o_orderpriority", "priority", "odd", "NOT regexp_full_match(o_orderpriority, '\\d.*N.*')"),
+    ),
+)
+def _(spark, d):
+    s = string()
+    rules = (s.starts_with("1"), s.ends_with("H"), s.includes("-"), s.pattern("[1-3]-[A-Z]+"), s.pattern(r"\d.*N.*", "priority", "odd"))
+    return _counted(_table(spark, d, "orders"), combine(*(field("o_orderpriority", r) for r in rules), field("o_orderstatus", s.one_of("O", "F"))))
+
+
+_TOKEN = r"[^ \n]*@[^ \n]*"
+
+
+@_query(
+    "str_email",
+    f"""SELECT count(*) AS n, count(*) FILTER (NOT (length(t) <= 254 AND regexp_full_match(t, '[a-zA-Z0-9._%+\\-]{{1,64}}@[a-zA-Z0-9.\\-]{{1,255}}\\.[a-zA-Z]{{2,}}'))) AS refused
+FROM (SELECT regexp_extract(text, '{_TOKEN}') AS t FROM documents) WHERE t <> ''""",
+)
+def _(spark, d):
+    rows = _table(spark, d, "documents").select(F.regexp_extract("text", _TOKEN, 0).alias("t")).filter("t != ''")
+    return decode(rows, field("t", string().email())).frame.agg(F.count("*").alias("n"), F.count_if(F.size("issues") > 0).alias("refused"))
+
+
+@_query(
+    "str_address",
+    """SELECT count(*) FILTER (c_custkey % 300 > 255) AS ipv4, count(*) FILTER (c_custkey % 3 <> 0) AS ipv6, count(*) FILTER (c_custkey % 300 > 255 AND c_custkey % 3 <> 0) AS ip, count(*) FILTER (c_custkey % 5 = 0) AS cuid, count(*) FILTER (c_custkey % 4 = 0) AS ulid FROM customer""",
+)
+def _(spark, d):
+    key = F.col("c_custkey")
+    v4 = F.concat(F.lit("10.0."), (key % 300).cast("string"), F.lit(".1"))
+    v6 = F.when(key % 3 == 0, F.lit("fe80::1:2")).when(key % 3 == 1, F.lit("fe80::1::2")).otherwise(F.lit("1:2:3:4:5:6:7"))
+    rows = _table(spark, d, "customer").select(
+        v4.alias("v4"), v6.alias("v6"), F.when(key % 300 > 255, v6).otherwise(v4).alias("any"),
+        F.concat(F.when(key % 5 == 0, "d").otherwise("c"), F.lpad(key.cast("string"), 24, "a")).alias("cuid"), F.concat(F.lit("01"), F.lpad(key.cast("string"), 23, "Z"), F.when(key % 4 == 0, "I").otherwise("H")).alias("ulid"),
+    )
+    s = string()
+    parts = {"ipv4": field("v4", s.ipv4()), "ipv6": field("v6", s.ipv6()), "ip": field("any", s.ip()), "cuid": field("cuid", s.cuid()), "ulid": field("ulid", s.ulid())}
+    done = decode(rows, combine(*(recover(p, None) for p in parts.values())).named(*parts)).frame
+    return done.agg(*(F.count_if(F.col(f"value.{k}").isNull()).alias(k) for k in parts))
+
+
+@_query("str_url", "SELECT count(*) AS n, count(*) FILTER (NOT regexp_matches(url, '^https?://[^/?#]+')) AS refused, count(*) FILTER (NOT starts_with(url, 'https:')) AS not_https FROM pages")
+def _(spark, d):
+    done = decode(_table(spark, d, "pages"), combine(recover(field("url", string().url()), None), recover(field("url", string().starts_with("https:").uri()), None)).named("url", "https")).frame
+    return done.agg(F.count("*").alias("n"), F.count_if(F.col("value.url").isNull()).alias("refused"), F.count_if(F.col("value.https").isNull()).alias("not_https"))
+
+
+@_query("str_transform", "SELECT c_custkey, c_name AS trimmed, lower(c_name) AS lowered, upper(c_name) AS uppered FROM customer")
+def _(spark, d):
+    rows = _table(spark, d, "customer").withColumn("padded", F.concat(F.lit(" \t"), "c_name", F.lit("\n ")))
+    t = string().trim()
+    return decode(rows, combine(field("c_custkey", long_()), field("padded", t), field("padded", t.to_lower_case()), field("padded", t.to_upper_case())).named("c_custkey", "trimmed", "lowered", "uppered")).valid()
+
+
+@_query(
+    "str_uuid",
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS id
+FROM (SELECT c_custkey, md5(c_custkey::VARCHAR) AS h FROM customer)""",
+)
+def _(spark, d):
+    h = F.upper(F.md5(F.col("c_custkey").cast("string").cast("binary")))
+    text = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    rows = _table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, F.lit("no")).otherwise(text).alias("id"))
+    return decode(rows, combine(field("c_custkey", long_()), recover(field("id", string().uuid()), None)).named("c_custkey", "id")).valid()
+
+
+# ---------------------------------------------------------------- coercions and time
+
+_K = "(props::JSON->>'$.k')"
+
+
+@_query("coerce_number", f"SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN {_K}::INT END AS i, CASE WHEN event_id % 7 <> 0 THEN {_K}::BIGINT END AS l, CASE WHEN event_id % 7 <> 0 THEN ({_K} || '.25')::DOUBLE END AS x FROM events")
+def _(spark, d):
+    k = F.get_json_object("props", "$.k")
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(k, F.lit("x"))).otherwise(k)
+    rows = _table(spark, d, "events").select("event_id", text.alias("t"), F.when(F.col("event_id") % 7 == 0, F.lit("a.25")).otherwise(F.concat(k, F.lit(".25"))).alias("u"))
+    s = string()
+    done = decode(rows, combine(field("event_id", long_()), recover(field("t", s.to_int()), None), recover(field("t", s.to_long()), None), recover(field("u", s.to_decimal().scale(2)), None)).named("event_id", "i", "l", "x"))
+    return done.valid().withColumn("x", F.col("x").cast("double"))
+
+
+@_query("coerce_bool", "SELECT event_id % 6 AS kind, count(*) FILTER (event_id % 6 IN (0, 1, 2)) AS yes, count(*) FILTER (event_id % 6 IN (3, 4)) AS no, count(*) FILTER (event_id % 6 = 5) AS refused FROM events GROUP BY 1")
+def _(spark, d):
+    words = F.array(*(F.lit(w) for w in ("true", "YES", "On", "0", "off", "maybe")))
+    rows = _table(spark, d, "events").select((F.col("event_id") % 6).alias("kind")).withColumn("t", F.element_at(words, (F.col("kind") + 1).cast("int")))
+    done = decode(rows, field("t", string().to_bool())).frame
+    return done.groupBy("kind").agg(F.count_if(F.col("value")).alias("yes"), F.count_if(~F.col("value")).alias("no"), F.count_if(F.size("issues") > 0).alias("refused"))
+
+
+@_query(
+    "bool_rules",
+    _expected("lineitem", ("/returned", "invalid_value", "must be true", "l_returnflag <> 'R'"), ("/returned", "invalid_value", "must be false", "l_returnflag = 'R'")),
+)
+def _(spark, d):
+    rows = _table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").alias("returned"))
+    return _counted(rows, combine(field("returned", bool_().is_true()), field("returned", bool_().is_false())))
+
+
+def _temporal(frame: DataFrame, column: str):
+    return iso8601() if frame.schema[column].dataType.typeName() == "timestamp" else date_time()
+
+
+_A, _B = datetime(1996, 1, 1), datetime(1997, 1, 1)
+
+
+@_query(
+    "tmp_bounds",
+    """SELECT count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01') AS not_before, count(*) FILTER (o_orderdate <= TIMESTAMP '1996-01-01') AS not_after, count(*) FILTER (o_orderdate NOT BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-01-01') AS not_between FROM orders""",
+)
+def _(spark, d):
+    from datetime import timezone
+
+    rows = _table(spark, d, "orders")
+    t = _temporal(rows, "o_orderdate")
+    a, b = (x.replace(tzinfo=timezone.utc) if rows.schema["o_orderdate"].dataType.typeName() == "timestamp" else x for x in (_A, _B))
+    parts = {"not_before": t.before(a), "not_after": t.after(a), "not_between": t.between(a, b)}
+    done = decode(rows, combine(*(recover(field("o_orderdate", p), None) for p in parts.values())).named(*parts)).frame
+    return done.agg(*(F.count_if(F.col(f"value.{k}").isNull()).alias(k) for k in parts))
+
+
+@_query(
+    "tmp_parse",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS d, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS t FROM orders""",
+)
+def _(spark, d):
+    odd = F.col("o_orderkey") % 5 == 0
+    rows = _table(spark, d, "orders").select(
+        "o_orderkey", F.when(odd, F.lit("1996-02-30")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("a"),
+        F.when(odd, F.lit("1996-02-03T04:05:06+09:00")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("b"),
+    )
+    done = decode(rows, combine(field("o_orderkey", long_()), recover(field("a", string().date()), None), recover(field("b", string().date_time()), None)).named("o_orderkey", "d", "t")).valid()
+    return done.select("o_orderkey", F.date_format("d", "yyyy-MM-dd").alias("d"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+
+
+# ---------------------------------------------------------------- JSON
+
+
+def _events(spark, d) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    text = (
+        F.when(F.col("event_id") % 5 == 0, F.lit('{"k": null}')).when(F.col("event_id") % 5 == 1, F.lit('{"extra": 1}'))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(F.col("event_id") % 5 == 3, F.lit("[1]")).otherwise(F.col("props"))
+    )
+    return _table(spark, d, "events").select("event_id", F.try_parse_json(text).alias("j"))
+
+
+@_query(
+    "json_field",
+    "SELECT event_id % 5 AS kind, CASE event_id % 5 WHEN 0 THEN 'required' WHEN 1 THEN 'required' WHEN 2 THEN 'type_mismatch' WHEN 3 THEN 'type_mismatch' ELSE 'none' END AS code, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def _(spark, d):
+    done = decode_column(_events(spark, d), "j", field("k", int_())).frame
+    code = F.coalesce(F.try_element_at("issues", F.lit(1))["code"], F.lit("none"))
+    return done.groupBy((F.col("event_id") % 5).alias("kind"), code.alias("code")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    "json_presence",
+    "SELECT event_id % 5 AS kind, CASE event_id % 5 WHEN 0 THEN 'present_null' WHEN 1 THEN 'absent' WHEN 2 THEN 'present' WHEN 3 THEN 'absent' ELSE 'present' END AS state, count(*) AS n FROM events GROUP BY 1, 2",
+)
+def _(spark, d):
+    done = decode_column(_events(spark, d), "j", optional_nullable_field("k", one_of(int_().map(lambda v: v.cast("string")), string()))).frame
+    return done.groupBy((F.col("event_id") % 5).alias("kind"), F.col("value.state").alias("state")).agg(F.count("*").alias("n"))
+
+
+@_query("json_optional", "SELECT event_id % 5 AS kind, count(*) FILTER (event_id % 5 IN (1, 3)) AS empty, count(*) FILTER (event_id % 5 IN (0, 2)) AS refused FROM events GROUP BY 1")
+def _(spark, d):
+    done = decode_column(_events(spark, d), "j", optional_field("k", int_())).frame
+    return done.groupBy((F.col("event_id") % 5).alias("kind")).agg(F.count_if((F.size("issues") == 0) & F.col("value").isNull()).alias("empty"), F.count_if(F.size("issues") > 0).alias("refused"))
+
+
+@_query("json_strict", "SELECT '/extra' AS pointer, 'unknown_field' AS code, count(*) AS n FROM events WHERE event_id % 5 = 1")
+def _(spark, d):
+    done = decode_column(_events(spark, d), "j", strict(optional_field("k", nullable(one_of(int_().map(lambda v: v.cast("string")), string()))), ["k"])).frame
+    return I.summary(done)
+
+
+@_query("json_values", f"SELECT event_id, {_K}::INT AS k FROM events WHERE event_id % 5 = 4")
+def _(spark, d):
+    done = decode_column(_events(spark, d), "j", field("k", int_()))
+    return done.is_ok().select("event_id", F.col("value").alias("k"))
+
+
+@_query("json_recursive", "SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1")
+def _(spark, d):
+    """Turns as a comment with replies: the tree is encoded to JSON and decoded again."""
+    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    text = F.to_json(F.struct(F.lit("root").alias("body"), F.transform("t", lambda x: F.struct(x["role"].alias("body"))).alias("replies")))
+    comment = combine(field("body", string()), with_default(field("replies", list_(lazy(lambda: comment, 2))), F.array()))
+    node = combine(field("body", string()), field("replies", list_(combine(field("body", string()), with_default(field("replies", list_(string())), F.array().cast("array<string>"))))))
+    done = decode_column(rows.select("conv_id", F.parse_json(text).alias("j")), "j", node)
+    return done.is_ok().select("conv_id", F.size("value.replies").cast("long").alias("turns"))
+
+
+# ---------------------------------------------------------------- arrays and maps
+
+
+@_query(
+    "list_rules",
+    """SELECT conv_id, CAST(count(*) < 3 AS INT) + CAST(count(*) > 4 AS INT) + CAST(count(*) <> 2 AS INT) + CAST(count(*) FILTER (role = 'system') = 0 AS INT) + CAST(count(DISTINCT role) FILTER (role IN ('user', 'assistant')) < 2 AS INT) + CAST(count(DISTINCT role) < count(*) AS INT) AS n_issues, count(DISTINCT role) AS n_roles
+FROM conversations GROUP BY 1""",
+)
+def _(spark, d):
+    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    roles = list_(string())
+    rules = (roles.nonempty(), roles.min_size(3), roles.max_size(4), roles.fixed_size(2), roles.contains("system"), roles.contains_all("user", "assistant"), roles.unique())
+    done = decode(rows, combine(*(field("roles", r) for r in rules))).frame
+    sets = decode(rows, combine(field("conv_id", long_()), field("roles", roles.to_set()))).valid()
+    return done.select("conv_id", F.size("issues").alias("n_issues")).join(sets.select("conv_id", F.size("roles").cast("long").alias("n_roles")), "conv_id")
+
+
+@_query("list_elements", "SELECT '/embedding/' || i AS pointer, count(*) AS n FROM (SELECT unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) WHERE x < 0 GROUP BY 1")
+def _(spark, d):
+    done = decode(_table(spark, d, "embeddings"), field("embedding", list_(float_().non_negative()))).frame
+    return I.summary(done).drop("code")
+
+
+@_query("map_rules", "SELECT user_id, count(DISTINCT event_type) AS size, CAST(count(DISTINCT event_type) > 3 AS INT) AS n_issues FROM events GROUP BY 1")
+def _(spark, d):
+    rows = _table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    done = decode(rows, combine(field("m", map_(double_()).nonempty().max_size(3)))).frame
+    return done.select("user_id", F.size("m").cast("long").alias("size"), F.size("issues").alias("n_issues"))
+
+
+@_query("map_values", "SELECT '/m/' || event_type AS pointer, count(*) AS n FROM (SELECT user_id, event_type, max(value) AS v FROM events GROUP BY 1, 2) WHERE v < 50 GROUP BY 1")
+def _(spark, d):
+    rows = _table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    return I.summary(decode(rows, field("m", map_(double_().min(50.0)))).frame).drop("code")
+
+
+# ---------------------------------------------------------------- combinators
+
+
+@_query("enum_and_literal", "SELECT role, CASE WHEN role IN ('user', 'assistant') THEN upper(role) END AS known, CASE WHEN role = 'user' THEN role END AS same, count(*) AS n FROM conversations GROUP BY 1")
+def _(spark, d):
+    done = decode(_table(spark, d, "conversations"), combine(recover(field("role", enum_of(["USER", "ASSISTANT"])), None), recover(field("role", literal("user")), None)).named("known", "same")).frame
+    return done.groupBy("role", F.col("value.known").alias("known"), F.col("value.same").alias("same")).agg(F.count("*").alias("n"))
+
+
+@_query(
+    "discriminate",
+    "SELECT l_returnflag AS flag, CASE WHEN l_returnflag IN ('A', 'R') THEN 0 ELSE count(*) END AS unknown, CASE l_returnflag WHEN 'A' THEN sum(l_quantity)::BIGINT WHEN 'R' THEN sum(CASE WHEN l_tax > 0 THEN l_linenumber ELSE 0 END)::BIGINT ELSE 0 END AS total, CASE WHEN l_returnflag = 'R' THEN count(*) FILTER (l_tax <= 0) ELSE 0 END AS refused FROM lineitem GROUP BY 1",
+)
+def _(spark, d):
+    line = discriminate("l_returnflag", {"A": field("l_quantity", double_()), "R": combine(field("l_tax", double_().positive()), field("l_linenumber", int_())).map(lambda t, n: n.cast("double"))})
+    done = decode(_table(spark, d, "lineitem"), line).frame
+    code = lambda c: F.count_if(F.exists("issues", lambda i: i["code"] == c))
+    return done.groupBy(F.col("l_returnflag").alias("flag")).agg(code("not_allowed").alias("unknown"), F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("total"), code("out_of_range").alias("refused"))
+
+
+@_query("one_of", "SELECT event_type, count(*) FILTER (value >= 50) AS high, count(*) FILTER (value < 50 AND user_id % 2 = 0) AS even, count(*) FILTER (value < 50 AND user_id % 2 <> 0) AS failed FROM events GROUP BY 1")
+def _(spark, d):
+    union = one_of(field("value", double_().min(50.0)).map(lambda v: F.lit("high")), field("user_id", long_().multiple_of(2)).map(lambda v: F.lit("even")))
+    done = decode(_table(spark, d, "events").withColumnRenamed("value", "v"), one_of(field("v", double_().min(50.0)).map(lambda v: F.lit("high")), union.candidates[1])).frame
+    return done.groupBy("event_type").agg(F.count_if(F.col("value") == "high").alias("high"), F.count_if(F.col("value") == "even").alias("even"), F.count_if(F.exists("issues", lambda i: i["code"] == "one_of_failed")).alias("failed"))
+
+
+@_query(
+    "default_and_recover",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' WHEN o_orderstatus IN ('F', 'O') THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 OR o_orderstatus NOT IN ('F', 'O') THEN '?' ELSE o_orderstatus END AS safe FROM orders",
+)
+def _(spark, d):
+    rows = _table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")))
+    known = field("s", string().one_of("F", "O"))
+    return decode(rows, combine(field("o_orderkey", long_()), recover(with_default(known, "X"), None), recover(known, "?")).named("o_orderkey", "status", "safe")).valid()
+
+
+@_query(
+    "combine_accumulate",
+    "SELECT l_orderkey, l_linenumber, CAST(l_quantity > 40 AS INT) + CAST(l_discount < 0.02::DOUBLE AS INT) + CAST(l_tax > 0.06::DOUBLE AS INT) + CAST(l_returnflag NOT IN ('A', 'R') AS INT) + CAST(l_linestatus <> 'O' AS INT) AS n_issues FROM lineitem",
+)
+def _(spark, d):
+    line = combine(field("l_orderkey", long_()), field("l_quantity", double_().max(40.0)), field("l_discount", double_().min(0.02)), field("l_tax", double_().max(0.06)), field("l_returnflag", string().one_of("A", "R")), field("l_linestatus", literal("O")))
+    return decode(_table(spark, d, "lineitem"), line).frame.select("l_orderkey", "l_linenumber", F.size("issues").alias("n_issues"))
+
+
+@_query(
+    "combine_list_of_17",
+    "SELECT count(*) FILTER (l_quantity <= 20) AS valid, sum(CAST(l_quantity > 20 AS INT) * 17)::BIGINT AS issues FROM lineitem",
+)
+def _(spark, d):
+    done = decode(_table(spark, d, "lineitem"), combine([field("l_quantity", double_().max(20.0))] * 17).tuple()).frame
+    return done.agg(F.count_if(F.size("issues") == 0).alias("valid"), F.sum(F.size("issues")).alias("issues"))
+
+
+@_query("flat_map_cross_field", _expected("lineitem", ("/l_tax", "tax_over_discount", "tax is above the discount", "l_quantity >= 5 AND l_tax > l_discount"), ("/l_quantity", "out_of_range", "must be at least 5.0", "l_quantity < 5"), ("", "even", "even line", "l_quantity >= 5 AND l_linenumber % 2 = 0")))
+def _(spark, d):
+    def rule(quantity, discount, tax, line):
+        return check(discount - tax, Rule(tax > discount, "tax_over_discount", "tax is above the discount", at=("l_tax",)), Rule(line % 2 == 0, "even", "even line"))
+
+    return _counted(_table(spark, d, "lineitem"), combine(field("l_quantity", double_().min(5.0)), field("l_discount", double_()), field("l_tax", double_()), field("l_linenumber", int_())).flat_map(rule))
+
+
+@_query("flat_map_field", _expected("part", ("/p_size", "odd", "must be even", "p_size % 2 <> 0")))
+def _(spark, d):
+    return _counted(_table(spark, d, "part"), field("p_size", int_().flat_map(lambda v: check(v, Rule(v % 2 != 0, "odd", "must be even")))))
+
+
+@_query("pipe", "SELECT p_partkey, CAST(p_size AS BIGINT) AS size FROM part WHERE p_size >= 25")
+def _(spark, d):
+    rows = _table(spark, d, "part").withColumn("t", F.concat(F.lit(" "), F.col("p_size").cast("string")))
+    return decode(rows, combine(field("p_partkey", long_()), field("t", string().trim().to_int().pipe(long_().min(25)))).named("p_partkey", "size")).valid()
+
+
+@_query("strict_columns", "SELECT pointer, 'unknown_field' AS code, (SELECT count(*) FROM supplier) AS n FROM (VALUES ('/s_nationkey'), ('/s_acctbal')) t(pointer)")
+def _(spark, d):
+    return I.summary(decode(_table(spark, d, "supplier"), combine(field("s_suppkey", long_()), field("s_name", string())).strict()).frame)
+
+
+@_query("nullable_and_missing", "SELECT 'missing_field' AS code, '/nowhere' AS pointer, count(*) AS n FROM orders UNION ALL SELECT 'required', '/s', count(*) FROM orders WHERE o_orderkey % 4 = 0")
+def _(spark, d):
+    rows = _table(spark, d, "orders").withColumn("s", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")))
+    decoder = combine(field("nowhere", string()), field("s", string()), field("s", nullable(string())), optional_field("elsewhere", string()))
+    return I.summary(decode(rows, decoder.tuple(), "record").frame)
+
+
+@_query("conditional", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice / 2, 2) ELSE o_totalprice END AS due FROM orders WHERE o_orderstatus <> 'P'")
+def _(spark, d):
+    def rule(key, status, price):
+        return check(F.struct(key.alias("o_orderkey"), F.when(status == "O", F.round(price / 2, 2)).otherwise(price).alias("due")), Rule(status == "P", "pending", "not decided yet", at=("o_orderstatus",)))
+
+    return decode(_table(spark, d, "orders"), combine(field("o_orderkey", long_()), field("o_orderstatus", string()), field("o_totalprice", double_())).flat_map(rule)).valid()
+
+
+@_query(
+    "schema_versions",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Given' ELSE 'First' || o_custkey END AS first, CASE WHEN o_orderkey % 4 = 0 THEN 'Name' || o_custkey ELSE 'Last' END AS last, CAST(floor(o_totalprice) AS BIGINT) AS amount, CASE WHEN o_orderkey % 4 = 2 THEN 'USD' ELSE 'JPY' END AS currency
+FROM orders WHERE o_orderkey % 4 <> 3""",
+)
+def _(spark, d):
+    v = F.col("o_orderkey") % 4
+    rows = _table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.element_at(F.array(*(F.lit(x) for x in ("1", "2", "3", "99"))), (v + 1).cast("int")).alias("schema_version"), F.floor("o_totalprice").alias("amount"),
+        F.when(v == 0, F.concat(F.lit("Given Name"), F.col("o_custkey").cast("string"))).alias("customer_name"), F.when(v != 0, F.concat(F.lit("First"), F.col("o_custkey").cast("string"))).alias("first_name"),
+        F.when(v != 0, F.lit("Last")).alias("last_name"), F.when(v == 2, F.lit("USD")).alias("currency"),
+    )
+    money = [field("amount", long_()), with_default(field("currency", string().fixed_length(3)), "JPY")]
+    shape = lambda i, first, last, a, c: F.struct(i.alias("id"), first.alias("first"), last.alias("last"), a.alias("amount"), c.alias("currency"))
+    cut = lambda n: F.split(n, " ", 2)
+    one = combine(field("id", long_()), field("customer_name", string().non_blank()), *money).map(lambda i, n, a, c: shape(i, cut(n)[0], F.coalesce(F.get(cut(n), F.lit(1)), F.lit("")), a, c))
+    two = combine(field("id", long_()), field("first_name", string()), field("last_name", string()), *money).map(shape)
+    return decode(rows, discriminate("schema_version", {"1": one, "2": two, "3": two})).valid()
+
+
+# ---------------------------------------------------------------- results and datasets
+
+
+@_query("fold", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'ok' ELSE 'must be non-negative' END AS said FROM customer")
+def _(spark, d):
+    done = decode(_table(spark, d, "customer"), field("c_acctbal", double_().non_negative()))
+    return done.fold(lambda v: F.lit("ok"), lambda i: F.array_join(F.transform(i, lambda x: x["message"]), "; "), "said").select("c_custkey", "said")
+
+
+@_query("get_or_throw", "SELECT r_regionkey, r_name FROM region")
+def _(spark, d):
+    return decode(_table(spark, d, "region"), combine(field("r_regionkey", int_()), field("r_name", string().non_blank()))).or_else_throw().select("value.*")
+
+
+@_query(
+    "map2_join",
+    """SELECT c_custkey, c.n_issues + coalesce(o.n_issues, 1) AS n_issues FROM (SELECT c_custkey, CAST(c_acctbal < 0 AS INT) AS n_issues FROM customer) c
+LEFT JOIN (SELECT o_custkey, CAST(sum(o_totalprice) > 1000000 AS INT) AS n_issues FROM orders GROUP BY 1) o ON c_custkey = o_custkey""",
+)
+def _(spark, d):
+    a = decode(_table(spark, d, "customer"), field("c_acctbal", double_().non_negative()))
+    totals = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("total")).join(_table(spark, d, "customer").select("c_custkey"), "c_custkey", "left_semi")
+    b = decode(totals, field("total", double_().max(1000000.0)))
+    return map2(["c_custkey"], lambda x, y: F.struct(x.alias("balance"), y.alias("total")), a, b).frame.select("c_custkey", F.size("issues").alias("n_issues"))
+
+
+@_query("traverse_index", "SELECT '/rows/' || (row_number() OVER (ORDER BY o_orderkey) - 1) || '/o_totalprice' AS pointer, o_orderkey, o_totalprice > 300000 AS bad FROM orders QUALIFY bad")
+def _(spark, d):
+    done = traverse(_table(spark, d, "orders"), combine(field("o_totalprice", double_().max(300000.0))), ["o_orderkey"], base=("rows",))
+    return done.issues("o_orderkey").select("pointer", "o_orderkey", F.lit(True).alias("bad"))
+
+
+@_query("traverse_all_or_nothing", "SELECT n_name FROM nation WHERE (SELECT count(*) FROM nation WHERE n_nationkey < 0) = 0")
+def _(spark, d):
+    done = traverse(_table(spark, d, "nation"), combine(field("n_nationkey", int_().non_negative()), field("n_name", string())), ["n_nationkey"])
+    return all_or_nothing(done).select("value.n_name")
+
+
+_ISSUES = "SELECT s_suppkey, 0 AS pos, '/s_suppkey' AS pointer, 'must be at least 10' AS message, 'out_of_range' AS code FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, 1, '/s_acctbal', 'must be non-negative', 'out_of_range' FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT s_suppkey, 2, '/s_acctbal', 'must be at most 100.0', 'out_of_range' FROM supplier WHERE s_acctbal > 100 UNION ALL SELECT s_suppkey, 3, '/s_acctbal', 'must be at most 200.0', 'out_of_range' FROM supplier WHERE s_acctbal > 200"
+
+
+def _supplier_issues(spark, d) -> DataFrame:
+    x = double_()
+    return decode(_table(spark, d, "supplier"), combine(field("s_suppkey", long_().min(10)), field("s_acctbal", x.non_negative()), field("s_acctbal", x.max(100.0)), field("s_acctbal", x.max(200.0)))).frame
+
+
+@_query("flatten", f"SELECT s_suppkey, pointer, string_agg(message, '; ' ORDER BY pos) AS messages FROM ({_ISSUES}) GROUP BY 1, 2")
+def _(spark, d):
+    return I.flatten(_supplier_issues(spark, d), ["s_suppkey"]).select("s_suppkey", "pointer", F.array_join("messages", "; ").alias("messages"))
+
+
+@_query("group_by_path", f"SELECT s_suppkey, pointer, count(*) AS n, string_agg(code, ',' ORDER BY pos) AS codes FROM ({_ISSUES}) GROUP BY 1, 2")
+def _(spark, d):
+    rows = I.group_by_path(_supplier_issues(spark, d), ["s_suppkey"])
+    return rows.select("s_suppkey", "pointer", F.size("issues").cast("long").alias("n"), F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+
+
+@_query("issues_rebase_merge", f"SELECT s_suppkey, string_agg('/in/row' || pointer, ',' ORDER BY pos) || ',' || string_agg(pointer, ',' ORDER BY pos) AS pointers FROM ({_ISSUES}) GROUP BY 1")
+def _(spark, d):
+    both = I.merge(I.rebase(F.col("issues"), "in", "row"), F.col("issues"))
+    rows = _supplier_issues(spark, d).filter(~I.is_empty(F.col("issues")))
+    return rows.select("s_suppkey", F.array_join(F.transform(both, lambda i: I.pointer(i["path"])), ",").alias("pointers"))
+
+
+@_query("issues_json", "SELECT s_suppkey, '[{\"path\":\"/s_acctbal\",\"code\":\"out_of_range\",\"message\":\"must be non-negative\",\"meta\":{\"min\":0}}]' AS js FROM supplier WHERE s_acctbal < 0")
+def _(spark, d):
+    rows = decode(_table(spark, d, "supplier"), field("s_acctbal", double_().flat_map(lambda v: check(v, Rule(v < 0, "out_of_range", "must be non-negative", {"min": 0}))))).is_err()
+    return rows.select("s_suppkey", I.to_json_list(F.col("issues")).alias("js"))
+
+
+@_query("issues_resolve", "SELECT s_suppkey, '10以上{max}以下で入力してください' AS ja, 'must be at least 10' AS plain FROM supplier WHERE s_suppkey < 10")
+def _(spark, d):
+    rows = decode(_table(spark, d, "supplier"), field("s_suppkey", long_().min(10))).is_err()
+    first = lambda c: c[0]["message"]
+    return rows.select("s_suppkey", first(I.resolve(F.col("issues"), locale="ja_JP")).alias("ja"), first(I.resolve(I.resolve(F.col("issues")), messages.BUNDLES["ja"])).alias("plain"))
+
+
+@_query("issues_tree")
+def _(spark, d):
+    return _supplier_issues(spark, d).select("s_suppkey", I.format_tree(F.col("issues")).alias("tree"))
+
+
+@_query(
+    "flat_join_to_nested",
+    "SELECT o_orderkey, c_name AS name, c_mktsegment AS segment, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey",
+)
+def _(spark, d):
+    near = _table(spark, d, "nation").filter("n_nationkey < 10")
+    flat = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(near, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    who = combine(field("c_name", string()), field("c_mktsegment", string())).named("name", "segment")
+    row = combine(field("o_orderkey", long_()), nested(who), optional_nullable_field("n_name", string())).map(lambda k, w, n: F.struct(k.alias("o_orderkey"), w["name"].alias("name"), w["segment"].alias("segment"), n["value"].alias("nation")))
+    return decode(flat, row, "record").valid()
+
+
+@_query("one_to_many", "SELECT o_orderkey, o_custkey, count(l_linenumber) AS n_lines, sum(l_quantity)::DOUBLE AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def _(spark, d):
+    flat = _table(spark, d, "orders").join(_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = regroup(flat, ["o_orderkey", "o_custkey"], ["l_linenumber", "l_quantity"])
+    total = F.aggregate("lines", F.lit(0.0), lambda s, x: s + x["l_quantity"])
+    return rows.select("o_orderkey", "o_custkey", F.size("lines").cast("long").alias("n_lines"), F.when(F.size("lines") > 0, total).alias("quantity"))
+
+
+@_query("membership_join", "SELECT r_name AS group_name, n_name AS name, n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 ORDER BY id")
+def _(spark, d):
+    rows = _table(spark, d, "nation").join(F.broadcast(_table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_regionkey = 1")
+    return decode(rows, combine(field("r_name", string()), field("n_name", string().trim().non_blank().max_length(100)), field("n_nationkey", int_())).named("group_name", "name", "id"), "record").valid().orderBy("id")
+
+
+@_query("extra_fields", "SELECT user_id, count(DISTINCT event_type) FILTER (event_type NOT IN ('click', 'view')) AS extra FROM events GROUP BY 1")
+def _(spark, d):
+    rows = _table(spark, d, "events").select("user_id", "event_type").distinct().groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.lit(1)))).alias("m"))
+    done = decode(rows, combine(field("user_id", long_()), field("m", map_(int_()).extra_fields("click", "view")))).valid()
+    return done.select("user_id", F.size("m").cast("long").alias("extra"))
+
+
+@_query("list_to_map", "SELECT conv_id, max(turn) AS last_turn, count(*) AS n FROM conversations GROUP BY 1")
+def _(spark, d):
+    rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"))
+    turn = combine(field("turn", long_()), field("role", string()))
+    done = decode(rows, combine(field("conv_id", long_()), field("turns", list_(turn).to_map(lambda x: x["turn"], lambda x: x["role"])))).valid()
+    return done.select("conv_id", F.array_max(F.map_keys("turns")).alias("last_turn"), F.size("turns").cast("long").alias("n"))
+
+
+@_query("custom_code", _expected("region", ("/r_name", "closed", "region is closed", "r_name = 'ASIA'")))
+def _(spark, d):
+    rule = lambda v: check(v, Rule(v == "ASIA", "closed", "region is closed"))
+    return _counted(_table(spark, d, "region"), combine(field("r_name", string().flat_map(rule)), recover(field("r_name", string().flat_map(lambda v: fail("never", "never"))), None)))
+
+
+# ---------------------------------------------------------------- encoders
+
+
+@_query("encode_object", "SELECT c_custkey AS id, c_name AS name, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, 0.0) AS balance, lower(c_mktsegment) AS segment FROM customer")
+def _(spark, d):
+    rows = _table(spark, d, "customer").withColumn("positive", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
+    encoder = E.object_(
+        E.property_("id", E.long_, lambda c: c["c_custkey"]), E.property_("name", E.string, lambda c: c["c_name"]),
+        E.property_("balance", E.double_.with_default(0.0), lambda c: c["positive"]), E.property_("segment", E.string.and_then(F.lower), lambda c: c["c_mktsegment"]),
+    )
+    return rows.select(encoder(F.struct("*")).alias("o")).select("o.*")
+
+
+@_query("encode_nested_list", "SELECT o_orderkey, count(l_linenumber) AS n, coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber), '') AS numbers FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def _(spark, d):
+    flat = _table(spark, d, "orders").join(_table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = regroup(flat, ["o_orderkey"], ["l_linenumber"])
+    line = E.object_(E.property_("number", E.int_, lambda c: c["l_linenumber"]))
+    encoder = E.object_(E.property_("id", E.long_, lambda c: c["o_orderkey"]), E.property_("lines", E.nested(E.list_(line)), lambda c: c["lines"]))
+    out = rows.select(encoder(F.struct("*")).alias("o"))
+    return out.select(F.col("o.id").alias("o_orderkey"), F.size("o.lines").cast("long").alias("n"), F.array_join(F.transform("o.lines", lambda x: x["number"].cast("string")), ",").alias("numbers"))
+
+
+@_query("encode_time", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, CASE WHEN second(ts) = 0 AND microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M') WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN microsecond(ts) % 1000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(((microsecond(ts) % 1000000) // 1000)::VARCHAR, 3, '0') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS t FROM events")
+def _(spark, d):
+    return _table(spark, d, "events").select("event_id", E.date(F.col("ts")).alias("d"), E.date_time(F.col("ts")).alias("t"))
+
+
+@_query("round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(spark, d):
+    """Rows encoded to JSON and decoded again."""
+    text = E.to_json(E.object_(*(E.property_(k, E.identity) for k in ("c_custkey", "c_name", "c_acctbal"))))
+    rows = _table(spark, d, "customer").select(F.parse_json(text(F.struct("*"))).alias("j"))
+    done = decode_column(rows, "j", combine(field("c_custkey", long_()), field("c_name", string()), field("c_acctbal", decimal_()))).valid()
+    return done.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))

@@ -32,7 +32,7 @@ class _List(Decoder):
         def one(x: Column, i: Column) -> Column:
             inner = ctx.inner()
             out = self.element.compile(inner, source_of(x, dtype, src.boundary, 0), (*path, i.cast("string")))
-            return F.struct(out.value.alias("value"), gathered(out.terms).alias("issues"))
+            return inner.close(F.struct(out.value.alias("value"), gathered(out.terms).alias("issues")))
 
         done, level = ctx.bind(F.transform(items, one), max(level, src.level))
         found, level = ctx.bind(F.when(problem.isNotNull(), F.array(problem)).otherwise(F.coalesce(F.flatten(F.transform(done, lambda r: r["issues"])), empty())), level)
@@ -66,7 +66,7 @@ class _Map(Decoder):
             inner = ctx.inner()
             key = e["key"].cast("string")
             out = self.value.compile(inner, source_of(e["value"], dtype, src.boundary, 0), (*path, key))
-            return F.struct(key.alias("key"), out.value.alias("value"), gathered(out.terms).alias("issues"))
+            return inner.close(F.struct(key.alias("key"), out.value.alias("value"), gathered(out.terms).alias("issues")))
 
         done, level = ctx.bind(F.transform(entries, one), max(level, src.level))
         found, level = ctx.bind(F.when(problem.isNotNull(), F.array(problem)).otherwise(F.coalesce(F.flatten(F.transform(done, lambda r: r["issues"])), empty())), level)

@@ -106,6 +106,14 @@ class Chain(Decoder):
     def __init__(self, base: Decoder, steps: tuple = ()):
         self.base, self.steps = base, steps
 
+    @property
+    def dtype(self) -> T.DataType | None:
+        """The type of the value, where a conversion or the base tells it."""
+        for s in reversed(self.steps):
+            if s.kind == "map":
+                return s.dtype
+        return getattr(self.base, "dtype", None)
+
     def _then(self, step: Step, into: type | None = None):
         return (into or type(self))(self.base, (*self.steps, step))
 
@@ -163,6 +171,8 @@ class Scalar(Decoder):
     def __init__(self, name: str, accepts: tuple, value: Callable[[Column, T.DataType], Column], variant: Callable[[Column, Column], tuple] | None = None):
         """variant: (value, its type's name) to (whether it has the type, the typed value)."""
         self.name, self.accepts, self.value, self.variant = name, accepts, value, variant
+        plain = {"string": T.StringType(), "integer": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType()}
+        self.dtype = plain.get(name)
 
     def compile(self, ctx: Context, src: Source, path: Path) -> Out:
         required = issue(path, "required", "is required")
@@ -259,10 +269,11 @@ class Piped(Decoder):
         out = self.first.compile(ctx, src, path)
         value, level = ctx.bind(out.value, out.level)
         before, level = ctx.bind(failed(out.terms), level)
-        if ctx.frame is None:
-            raise ValueError("pipe needs a frame to tell the type of the value")
-        probe = ctx.apply(ctx.frame) if not ctx.nested else ctx.frame
-        dtype = probe.select(value.alias("v")).schema["v"].dataType
+        dtype = getattr(self.first, "dtype", None)
+        if dtype is None:
+            if ctx.nested:
+                raise ValueError("inside arrays and maps, pipe follows a scalar decoder")
+            dtype = ctx.apply(ctx.frame).select(value.alias("v")).schema["v"].dataType
         then = self.second.compile(ctx, source_of(value, dtype, src.boundary, level), path)
         later, level = ctx.bind(gathered(then.terms), then.level)
         held, level = ctx.bind(F.when(before, empty()).otherwise(later), level)
@@ -420,7 +431,7 @@ class Combiner(Decoder):
         terms = [t for o in outs for t in o.terms]
         level = max([src.level, *(o.level for o in outs)])
         if self.f is None and self.flat is None:
-            names = self.names or tuple(getattr(p, "name", f"_{k}") for k, p in enumerate(self.parts, 1))
+            names = self.names or tuple(_name_of(p) or f"_{k}" for k, p in enumerate(self.parts, 1))
             value = F.struct(*(o.value.alias(n) for n, o in zip(names, outs)))
             return Out(F.when(~failed(terms), value), terms, level)
         values = []
@@ -438,6 +449,13 @@ class Combiner(Decoder):
         return Out(value, every, top)
 
 
+def _name_of(part: Decoder) -> str | None:
+    """The name of the field that a part reads, also behind defaults and the like."""
+    while not hasattr(part, "name") and hasattr(part, "inner"):
+        part = part.inner
+    return getattr(part, "name", None) if isinstance(part, (Field, OptionalField, OptionalNullableField)) else None
+
+
 def combine(*parts) -> Combiner:
     """Combine any number of decoders, given one by one or as a list."""
     if len(parts) == 1 and isinstance(parts[0], (list, tuple)):
@@ -645,7 +663,7 @@ def enum_of(names, inner: Decoder | None = None) -> Decoder:
 
     names = list(names)
     allowed = [n.lower() for n in names]
-    table = F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
-    return Literal(inner or string(), (Step("map", lambda v: F.try_element_at(table, F.lower(v)), "invalid_format", "invalid value", {"allowed": allowed}),))
+    table = lambda: F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
+    return Literal(inner or string(), (Step("map", lambda v: F.try_element_at(table(), F.lower(v)), "invalid_format", "invalid value", {"allowed": allowed}, dtype=T.StringType()),))
 
 

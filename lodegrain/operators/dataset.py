@@ -92,22 +92,31 @@ def decode_column(frame: DataFrame, column: str, decoder: Decoder, path: tuple =
     return _run(frame, decoder, lambda f: source_of(F.col(f"`{column}`"), t, "json" if isinstance(t, T.VariantType) else "object", 0), path)
 
 
-def indexed(frame: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+def indexed(frame: DataFrame, order: list[str], name: str = "index", per_range: int = 20) -> DataFrame:
     """Number rows from 0 in the order of unique keys, without one task for all of them.
 
-    Rows are range-partitioned and numbered in their partition; the partitions' sizes, a row each,
-    give where their numbers start. The sizes are counted on a written copy where there is one, so
-    partitions are the same in both reads; here both come from one sorted shuffle with a fixed sample.
+    A bounded sample of the keys gives boundaries of ranges, which the plan holds as literals, so every
+    read of a row puts it in the same range. Rows are numbered in their range, after all rows of the
+    ranges before it; ranges are a few for each shuffle partition, whatever the rows.
     """
-    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frame.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    own = Window.partitionBy("__part").orderBy(*order)
-    numbered = ranged.withColumn("__own", F.row_number().over(own) - 1)
-    # one row a partition
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__start"))
-    return numbered.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__own", "__start")
+    ranges = min(512, 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = frame.select(*order)
+    n = keys.count()
+    drawn = sorted(keys.sample(fraction=min(1.0, 2 * ranges * per_range / n), seed=1).limit(4 * ranges * per_range).collect(), key=lambda r: tuple((x is not None, x) for x in r)) if n else []
+    cuts = [drawn[len(drawn) * k // ranges] for k in range(1, ranges)] if len(drawn) >= ranges else []
+    types = [frame.schema[c].dataType for c in order]
+    cut = lambda r: F.struct(*(F.lit(x).cast(t).alias(f"_{k}") for k, (x, t) in enumerate(zip(r, types))))
+    own = F.struct(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(order)))
+    place = F.size(F.filter(F.array(*(cut(r) for r in cuts)), lambda x: x <= own)) if cuts else F.lit(0)
+    ranged = frame.withColumn("__range", place)
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    starts, total = [], 0
+    for k in range(len(cuts) + 1):
+        starts.append(total)
+        total += sizes.get(k, 0)
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("__range") + 1)
+    return ranged.withColumn(name, start + number).drop("__range")
 
 
 def traverse(frame: DataFrame, decoder: Decoder, order: list[str], base: tuple = (), boundary: str = "object", prefix: bool = True) -> Decoded:

@@ -83,13 +83,13 @@ class StringDecoder(Chain):
         return self._format(lambda v: X.full_match(v, X.ULID), "ULID", message)
 
     def trim(self):
-        return self._convert(X.strip, None, None, None, None, StringDecoder)
+        return self._convert(X.strip, None, None, None, None, StringDecoder, T.StringType())
 
     def to_lower_case(self):
-        return self._convert(F.lower, None, None, None, None, StringDecoder)
+        return self._convert(F.lower, None, None, None, None, StringDecoder, T.StringType())
 
     def to_upper_case(self):
-        return self._convert(F.upper, None, None, None, None, StringDecoder)
+        return self._convert(F.upper, None, None, None, None, StringDecoder, T.StringType())
 
     def uuid(self, message: str | None = None):
         return self._convert(X.parse_uuid, "invalid_format", "not a valid UUID", None, message, Chain)
@@ -113,7 +113,8 @@ class StringDecoder(Chain):
         return self._convert(X.parse_offset_date_time, "invalid_format", "not a valid ISO-8601 offset date-time (e.g., 2024-01-15T10:30:00+09:00)", None, message, OffsetDecoder)
 
     def _coerce(self, f, name: str, message: str | None, into: type):
-        return self._convert(f, "type_mismatch", f"expected {name}", {"expected": name}, message, into)
+        dtype = {"integer": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}.get(name)
+        return self._convert(f, "type_mismatch", f"expected {name}", {"expected": name}, message, into, dtype)
 
     def to_int(self, message: str | None = None):
         return self._coerce(lambda v: F.when(X.full_match(v, r"[+-]?\d+"), v.try_cast("int")), "integer", message, IntDecoder)
@@ -235,12 +236,16 @@ class BoolDecoder(Chain):
         return self._is(False, message)
 
 
-def _bound(b) -> tuple[Column, str]:
-    """A bound as a literal and as text."""
+def _shown(b) -> str:
+    if isinstance(b, datetime) and b.tzinfo:
+        return b.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return b.isoformat() if isinstance(b, date) else str(b)
+
+
+def _bound(b) -> Column:
     if isinstance(b, datetime):
-        shown = b.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if b.tzinfo else b.isoformat()
-        return F.lit(b if b.tzinfo else b.isoformat(sep=" ")).cast("timestamp" if b.tzinfo else "timestamp_ntz"), shown
-    return (F.lit(b), b.isoformat()) if isinstance(b, date) else (F.lit(b), str(b))
+        return F.lit(b if b.tzinfo else b.isoformat(sep=" ")).cast("timestamp" if b.tzinfo else "timestamp_ntz")
+    return F.lit(b)
 
 
 class TemporalDecoder(Chain):
@@ -250,18 +255,18 @@ class TemporalDecoder(Chain):
         return v
 
     def before(self, bound, message: str | None = None):
-        c, shown = _bound(bound)
-        return self._test(lambda v: self._key(v) >= c, "out_of_range", f"must be before {shown}", lambda v: {"before": shown, "actual": self._key(v).cast("string")}, message)
+        text = _shown(bound)
+        return self._test(lambda v: self._key(v) >= _bound(bound), "out_of_range", f"must be before {text}", lambda v: {"before": text, "actual": self._key(v).cast("string")}, message)
 
     def after(self, bound, message: str | None = None):
-        c, shown = _bound(bound)
-        return self._test(lambda v: self._key(v) <= c, "out_of_range", f"must be after {shown}", lambda v: {"after": shown, "actual": self._key(v).cast("string")}, message)
+        text = _shown(bound)
+        return self._test(lambda v: self._key(v) <= _bound(bound), "out_of_range", f"must be after {text}", lambda v: {"after": text, "actual": self._key(v).cast("string")}, message)
 
     def between(self, low, high, message: str | None = None):
         if low > high:
             raise ValueError("the bounds are inverted")
-        (a, la), (b, lb) = _bound(low), _bound(high)
-        return self._test(lambda v: ~self._key(v).between(a, b), "out_of_range", f"must be between {la} and {lb}", lambda v: {"from": la, "to": lb, "actual": self._key(v).cast("string")}, message)
+        a, b = _shown(low), _shown(high)
+        return self._test(lambda v: ~self._key(v).between(_bound(low), _bound(high)), "out_of_range", f"must be between {a} and {b}", lambda v: {"from": a, "to": b, "actual": self._key(v).cast("string")}, message)
 
 
 class OffsetDecoder(TemporalDecoder):

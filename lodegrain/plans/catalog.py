@@ -365,9 +365,8 @@ def _(spark, d):
     """Turns as a comment with replies: the tree is encoded to JSON and decoded again."""
     rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
     text = F.to_json(F.struct(F.lit("root").alias("body"), F.transform("t", lambda x: F.struct(x["role"].alias("body"))).alias("replies")))
-    comment = combine(field("body", string()), with_default(field("replies", list_(lazy(lambda: comment, 2))), F.array()))
-    node = combine(field("body", string()), field("replies", list_(combine(field("body", string()), with_default(field("replies", list_(string())), F.array().cast("array<string>"))))))
-    done = decode_column(rows.select("conv_id", F.parse_json(text).alias("j")), "j", node)
+    comment = combine(field("body", string()), recover(field("replies", list_(lazy(lambda: comment, 2))), None))
+    done = decode_column(rows.select("conv_id", F.parse_json(text).alias("j")), "j", comment)
     return done.is_ok().select("conv_id", F.size("value.replies").cast("long").alias("turns"))
 
 

@@ -11,9 +11,12 @@ import itertools
 import json
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.classic.column import _to_seq
+from pyspark.sql.functions.builtin import _unresolved_named_lambda_variable
 
 ISSUE_DDL = "struct<path:array<string>,code:string,message:string,meta:string,custom_message:boolean>"
 ISSUES_DDL = f"array<{ISSUE_DDL}>"
@@ -56,17 +59,20 @@ class Out:
 
 
 class Context:
-    """Collects the stages of a compilation; inside a lambda of an array nothing can be staged."""
+    """Collects the stages of a compilation; inside a lambda of an array, variables bound around the result."""
 
     _names = itertools.count()
 
     def __init__(self, frame: DataFrame | None, nested: bool = False, depth: int = 0):
         self.frame, self.nested, self.depth = frame, nested, depth
         self.stages: list[dict[str, Column]] = []
+        self.lets: list[tuple[Column, Column]] = []
 
     def bind(self, column: Column, level: int) -> tuple[Column, int]:
         if self.nested:
-            return column, level
+            variable = _unresolved_named_lambda_variable("b")
+            self.lets.append((variable, column))
+            return variable, level
         while len(self.stages) <= level:
             self.stages.append({})
         name = f"__decode_{next(self._names)}"
@@ -76,6 +82,15 @@ class Context:
     def inner(self) -> "Context":
         return Context(self.frame, True, self.depth)
 
+    def close(self, body: Column) -> Column:
+        """The body with every bound variable in its scope, each evaluated once."""
+        sql = SparkContext._active_spark_context._jvm.PythonSQLUtils
+        for variable, column in reversed(self.lets):
+            f = sql.lambdaFunction(body._jc, _to_seq(SparkContext._active_spark_context, [variable._jc]))
+            held = Column(sql.fn("transform", _to_seq(SparkContext._active_spark_context, [F.array(column)._jc, f])))
+            body = held[0]
+        return body
+
     def apply(self, frame: DataFrame) -> DataFrame:
         for stage in self.stages:
             if stage:

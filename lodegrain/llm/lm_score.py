@@ -34,7 +34,7 @@ END = ""
 HEAD, HEAD_BYTES = 60_000, 48
 SINGLE, ENDINGS, WIDTH = 384, 128, 16
 CLASSES = 1 + SINGLE + ENDINGS
-NOISE, BATCH, RATE = 48, 1024, 0.15
+NOISE, BATCH, RATE, FIRST = 48, 1024, 0.1, 1e-6
 FOLDS, HELD_OUT = 5, 1
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -126,7 +126,7 @@ class Trainer:
     def __init__(self, weights: Weights, unigram: np.ndarray, seed: int):
         self.w, self.noise_p = weights, unigram
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.sums = [np.full(x.shape, 1e-2, np.float32) for x in (weights.r, weights.c, weights.q, weights.b)]
+        self.sums = [np.full(x.shape, FIRST, np.float32) for x in (weights.r, weights.c, weights.q, weights.b)]
         self.rng = np.random.default_rng(seed)
         self.cumulative = np.cumsum(unigram)
 

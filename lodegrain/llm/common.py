@@ -112,6 +112,14 @@ def rank_of(value: Column, splitters: list[int]) -> Column:
     return F.when(top == 0, F.lit(0)).otherwise((top - 1) * F.lit(step) + within)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cumulative(values: list[float]) -> list[float]:
     out, total = [], 0
     for v in values:
@@ -120,4 +128,4 @@ def cumulative(values: list[float]) -> list[float]:
     return out
 
 
-__all__ = ["Scratch", "map_arrow", "ship", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]
+__all__ = ["Scratch", "free_name", "map_arrow", "ship", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]

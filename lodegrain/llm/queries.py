@@ -23,5 +23,14 @@ def queries() -> dict:
     }
 
 
+#: The other operators have no SQL that runs on whole tables; tests/llm holds them against brute force.
+OP10 = """
+WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM sized),
+decided AS (SELECT *, n >= 1000 AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS again FROM grouped)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to FROM decided
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10}

@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow
 
-#: ASCII white space ends a word; other white space is part of words.
-SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 END = ""
 HEAD, HEAD_BYTES = 60_000, 48
 SINGLE, ENDINGS, WIDTH = 384, 128, 16
@@ -45,20 +43,20 @@ SCORED_ARROW = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_kno
 WEIGHTS = "tokens long, weights binary"
 CLASS_SUMS = "class int, n long, types long"
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_BLANK = {c: 32 for c in SPACES[1:]}
-_TABLE = _LOWER | _BLANK
+def tokens(text: str) -> list[bytes]:
+    """The words of a text and its end, in UTF-8.
 
-
-def tokens(text: str) -> list[str]:
-    """The words of a text in lower-case ASCII, and its end."""
-    words = [w for w in text.translate(_TABLE).split(" ") if w]
-    words.append(END)
+    For bytes, lower() changes A-Z alone, and split() cuts at ASCII white space: other white space is
+    part of words.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words.append(b"")
     return words
 
 
-def ending_class(word: str) -> int:
+def ending_class(word: bytes | str) -> int:
     """The class of a word that has none of its own: a hash of its last two letters and what stands after them."""
+    word = word.decode("utf-8", "surrogatepass") if isinstance(word, bytes) else word
     core = word.rstrip(".,;:!?|\"')]}%$&*#")
     return 1 + SINGLE + zlib.crc32(f"{core[-2:]}\0{word[len(core) :][:1]}".encode("utf-8", "surrogatepass")) % ENDINGS
 
@@ -165,19 +163,15 @@ class Trainer:
 
 
 class Vocabulary:
-    """Class, and log10 probability in its class, of head words; other words have an ending's class."""
+    """Classes and training counts of the head words, in UTF-8; other words have an ending's class."""
 
     def __init__(self, head: list[tuple[str, int]]):
-        self.single = {w: 1 + k for k, w in enumerate([w for w, _ in head if w != END][:SINGLE])}
-        self.single[END] = 0
-        self.count = dict(head)
-        self.classes = {w: self.single.get(w, -1) if w in self.single else ending_class(w) for w in self.count}
-
-    def class_of(self, word: str) -> int:
-        found = self.classes.get(word)
-        return ending_class(word) if found is None else found
+        self.count = {w.encode(): n for w, n in head}
+        self.single = {w: 1 + k for k, w in enumerate([w for w in self.count if w][:SINGLE])}
+        self.single[b""] = 0
+        self.classes = {w: self.single[w] if w in self.single else ending_class(w) for w in self.count}
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> np.ndarray:
         known = self.classes
         return np.array([known[w] if w in known else ending_class(w) for w in words], np.int32)
 
@@ -187,7 +181,7 @@ def _class_sums(vocabulary):
         n, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         v = vocabulary.value
         for batch in batches:
-            at = v.ids(batch.column("word").to_pylist())
+            at = v.ids(batch.column("word").cast(pa.binary()).to_pylist())
             np.add.at(n, at, batch.column("n").to_numpy(zero_copy_only=False))
             np.add.at(types, at, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n), pa.array(types)], names=["class", "n", "types"])
@@ -300,7 +294,7 @@ def _rare_classes(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            at = v.ids(batch.column("word").to_pylist())
+            at = v.ids(batch.column("word").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(at)], names=["word", "n", "class"])
 
     return run

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, map_arrow, small_join
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
@@ -28,10 +28,11 @@ SYMBOLS = 1 << BITS
 START, END, PLAIN = 1, 2, 3071
 CACHE = 1 << 18
 QUANTILE, FOLDS, LEAST_HELD_OUT = 0.99, 5, 20
+BROADCAST_IDS = 2_000_000
 COUNTS = "key long, n long"
 COUNTS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-SCORES = "row long, known double, symbols long, keys array<long>, times array<int>"
-SCORES_ARROW = pa.schema([("row", pa.int64()), ("known", pa.float64()), ("symbols", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+SCORES = "row long, own long, known double, symbols long, keys array<long>, times array<int>"
+SCORES_ARROW = pa.schema([("row", pa.int64()), ("own", pa.int64()), ("known", pa.float64()), ("symbols", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
 
 def symbols(text: str) -> np.ndarray:
@@ -115,11 +116,11 @@ def _score(cache):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+            for row, own, text in zip(batch.column("row").to_pylist(), batch.column("own").to_pylist(), batch.column("text")):
                 g = grams(text.as_py())
                 found, values = cache.value.look_up(g)
                 keys, times = np.unique(g[~found], return_counts=True)
-                rows.append((row, float(values.sum()), len(g), keys, times.astype(np.int32)))
+                rows.append((row, own, float(values.sum()), len(g), keys, times.astype(np.int32)))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCORES_ARROW)], schema=SCORES_ARROW)
                     rows = []
@@ -190,17 +191,19 @@ class Model:
 
 
 def perplexities(rows: DataFrame, model: Model, scratch: Scratch, cache_size: int = CACHE) -> DataFrame:
-    """(row, symbols, perplexity) of rows (row, text), text without nulls."""
+    """(row, symbols, perplexity) of each of rows (row, text), text without nulls; row may repeat."""
     spark = rows.sparkSession
     top = model.counts.orderBy(F.desc("n"), "key").limit(cache_size).join(model.p[ORDER], "key").select("key", F.log10("p").alias("lp"))
     # at most cache_size entries of 16 bytes
     held = top.toPandas()
     cache = spark.sparkContext.broadcast(Cache(held["key"].to_numpy(np.int64), held["lp"].to_numpy(np.float64)))
-    scored = scratch.keep(map_arrow(rows, _score(cache), SCORES), "scored")
-    misses = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("m")).select("row", F.col("m.keys").alias("key"), F.col("m.times").alias("times"))
+    # own tells repeated rows apart; it is written with the scores, so it stays the same whatever is computed again
+    numbered = rows.withColumn("own", F.monotonically_increasing_id())
+    scored = scratch.keep(map_arrow(numbered, _score(cache), SCORES), "scored")
+    misses = scored.select("own", F.explode(F.arrays_zip("keys", "times")).alias("m")).select("own", F.col("m.keys").alias("key"), F.col("m.times").alias("times"))
     resolved = scratch.keep(model.log_probability(misses.select("key").distinct()), "resolved")
-    summed = misses.join(resolved, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
-    found = scored.select("row", "known", "symbols").join(summed, "row", "left")
+    summed = misses.join(resolved, "key").groupBy("own").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
+    found = scored.select("row", "own", "known", "symbols").join(summed, "own", "left")
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
     return found.select("row", "symbols", F.pow(F.lit(10.0), -total / F.col("symbols")).alias("perplexity"))
 
@@ -221,12 +224,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("good")).filter("good")
     good = good.select("doc_id", F.lit(True).alias("trusted"), (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held_out"))
     base = docs.select(doc_id.alias("doc_id"), F.col("lang").cast("string").alias("lang"), body.alias("text"), F.xxhash64(F.coalesce(doc_id, F.lit(-(1 << 63))), body).alias("row"))
-    model = Model(base.join(good.filter("not held_out"), "doc_id", "left_semi").select("text"), scratch)
+    # 8 bytes a trusted document: up to BROADCAST_IDS of them go to the texts, beyond that the texts are shuffled
+    ids = scratch.keep(good.filter("not held_out").select("doc_id"), "trusted")
+    model = Model(small_join(base, ids, ["doc_id"], "left_semi", ids.count(), BROADCAST_IDS).select("text"), scratch)
     found = perplexities(base.select("row", "text"), model, scratch, cache_size).dropDuplicates(["row"])
     named = base.select("doc_id", "lang", "row").join(good, "doc_id", "left").join(found, "row")
     named = scratch.keep(named.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "named")
     held = named.filter("held_out")
-    level = F.percentile("perplexity", F.lit(quantile))
+    level = F.percentile_approx("perplexity", quantile, 10_000)
     overall = held.agg(level).first()[0]
     by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(level.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_HELD_OUT).drop("n")
     joined = named.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("l"), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))

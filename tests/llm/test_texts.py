@@ -372,7 +372,7 @@ def test_perplexity_against_brute_force(spark):
 
     scratch = Scratch(spark, "test")
     model = quality.Model(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3), scratch)
-    rows = spark.createDataFrame(list(enumerate(others)), "row long, text string")
+    rows = spark.createDataFrame([*enumerate(others), (1, others[1])], "row long, text string")
     p = brute_kneser_ney(trusted)
     for cache in (0, 50, 100_000):
         got = {r["row"]: r for r in quality.perplexities(rows, model, Scratch(spark, "test"), cache).collect()}

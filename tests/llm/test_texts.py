@@ -170,6 +170,44 @@ def test_fenwick():
         assert tree.below(q)[0] == max(held[:q], default=-np.inf)
 
 
+def brute_stretches(pairs, least_words, identity):
+    alike = []
+    for i, (x0, y0) in enumerate(pairs):
+        for j in range(i, len(pairs)):
+            if (j + 1 - i) / (max(pairs[j][0] - x0, pairs[j][1] - y0) + 1) >= identity:
+                alike.append((i, j))
+    most = [(i, j) for i, j in alike if not any((a, b) != (i, j) and a <= i and j <= b for a, b in alike)]
+    return [(pairs[i][0], pairs[j][0] + 1) for i, j in most if pairs[j][0] + 1 - pairs[i][0] >= least_words]
+
+
+def test_stretches_against_brute_force():
+    r = random.Random(9)
+    for k in range(120):
+        x = y = 0
+        pairs = []
+        for _ in range(r.randint(1, 12)):
+            x, y = x + r.choice((0, 0, 1, 1, 2, 6)), y + r.choice((0, 0, 1, 1, 2, 6))
+            for _ in range(r.randint(1, 9)):
+                pairs.append((x, y))
+                x, y = x + 1, y + 1
+        for identity in (0.5, 0.8, 0.9):
+            assert [s[:2] for s in substring.stretches(pairs, 8, identity)] == brute_stretches(pairs, 8, identity)
+
+
+def test_stretches_of_one_chain(spark):
+    long, line, first, second = prose(301, 100), prose(302, 14), prose(303, 60), prose(304, 60)
+    rows = [
+        (1, f"{prose(311, 30)} {long} {prose(312, 45)} {line} {prose(313, 30)}"), (2, f"{prose(314, 30)} {long} {prose(315, 45)} {line} {prose(316, 30)}"),
+        (3, f"{prose(321, 30)} {first} {prose(322, 40)} {second} {prose(323, 30)}"), (4, f"{prose(324, 30)} {first} {prose(325, 40)} {second} {prose(326, 30)}"),
+    ]
+    texts = dict(rows)
+    got = [(r["doc_id"], texts[r["doc_id"]][r["start_char"] : r["end_char"]]) for r in substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {d for d, _ in got} == {2, 4}
+    for d, passage in ((2, long), (4, first), (4, second)):
+        inner = " ".join(passage.split()[1:-1])
+        assert any(x == d and inner in piece for x, piece in got)
+
+
 def test_planted_passages(spark):
     shared, fuzzy = prose(50, 70), prose(51, 100)
     rows = [(k, prose(k, 150)) for k in range(30)]

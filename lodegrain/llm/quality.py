@@ -7,7 +7,10 @@ tables. To score documents, each document's n-grams are looked up in a bounded c
 commonest; all others are counted by document, joined with the sharded tables, backing off where an
 n-gram or its context is unknown, and summed up again. So every perplexity is exact. A document is
 kept if its perplexity is at most a quantile of those of trusted documents of its language that were
-held out of training.
+held out of training, and if no word of it is toxic. The mean over a text hides a few words, so words
+are judged one by one: two more models, of the words of trusted and of toxic documents, give every
+distinct word the ratio of its probabilities, and a word is toxic if its ratio is beyond the worst
+words of nearly all trusted documents that were held out.
 """
 
 from __future__ import annotations
@@ -28,9 +31,12 @@ SYMBOLS = 1 << BITS
 START, END, PLAIN = 1, 2, 3071
 CACHE = 1 << 18
 QUANTILE, FOLDS, LEAST_HELD_OUT = 0.99, 5, 20
+WORST_QUANTILE = 0.998
 BROADCAST_IDS = 2_000_000
 COUNTS = "key long, n long"
 COUNTS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+WORD_GRAMS = "word long, key long, n long"
+WORD_GRAMS_ARROW = pa.schema([("word", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 SCORES = "row long, own long, known double, symbols long, keys array<long>, times array<int>"
 SCORES_ARROW = pa.schema([("row", pa.int64()), ("own", pa.int64()), ("known", pa.float64()), ("symbols", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
@@ -72,6 +78,16 @@ def _count(most: int = 1 << 23):
     return run
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, text, n) to the n-grams of each word."""
+    for batch in batches:
+        held = [grams(t) for t in batch.column("text").to_pylist()]
+        if held:
+            sizes = [len(g) for g in held]
+            word, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("word", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.concatenate(held)), pa.array(n)], schema=WORD_GRAMS_ARROW)
+
+
 class Cache:
     """An open-addressing table of long keys and float values, of fixed size."""
 
@@ -150,9 +166,10 @@ def _suffix(key: Column, order: int) -> Column:
 class Model:
     """Tables of each order, all sharded by n-gram: probability (key, p) and backoff weight (context, weight)."""
 
-    def __init__(self, trusted: DataFrame, scratch: Scratch):
-        """trusted: one column, text, without nulls."""
-        counts = scratch.keep(map_arrow(trusted, _count(), COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "counts-5")
+    def __init__(self, trusted: DataFrame, scratch: Scratch, counted: bool = False):
+        """trusted: one column, text, without nulls; or, if counted, n-grams of the highest order (key, n), in any number of rows each."""
+        counted = trusted if counted else map_arrow(trusted, _count(), COUNTS)
+        counts = scratch.keep(counted.groupBy("key").agg(F.sum("n").alias("n")), "counts-5")
         self.counts = counts
         tables = {ORDER: counts}
         for k in range(ORDER - 1, 0, -1):
@@ -163,7 +180,7 @@ class Model:
         self.base = 1.0 / SYMBOLS
         below = None
         for k in range(1, ORDER + 1):
-            n = [tables[k].agg(*(F.count(F.when(F.col("n") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4))).first()[j] for j in range(4)]
+            n = tables[k].agg(*(F.count(F.when(F.col("n") == j, 1)).alias(f"n{j}") for j in (1, 2, 3, 4))).first()
             d = discounts(*n)
             taken = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
             contexts = tables[k].groupBy(_prefix(F.col("key"), k).alias("context")).agg(F.sum("n").alias("total"), F.sum(taken).alias("held"))
@@ -208,8 +225,74 @@ def perplexities(rows: DataFrame, model: Model, scratch: Scratch, cache_size: in
     return found.select("row", "symbols", F.pow(F.lit(10.0), -total / F.col("symbols")).alias("perplexity"))
 
 
+def _words(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, word, text) of the distinct words, runs of letters and digits in lower case, of rows with keys and text."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return texts.select(*keys, F.explode(found).alias("text")).select(*keys, F.xxhash64("text").alias("word"), "text")
+
+
+def word_ratios(vocabulary: DataFrame, trusted: DataFrame, toxic: DataFrame) -> DataFrame:
+    """(word, ratio): log10 of the probability of each word as a toxic one against that as a trusted one.
+
+    vocabulary: (word, text); trusted, toxic: words of documents (word, text), a row for each document.
+    """
+    spark = vocabulary.sparkSession
+    scratch = Scratch(spark, "quality-words")
+    spelt = scratch.keep(map_arrow(vocabulary.withColumn("n", F.lit(1).cast("long")), _spell, WORD_GRAMS).select("word", "key"), "spelt")
+    keys = scratch.keep(spelt.select("key").distinct(), "keys")
+    ratios = keys.withColumn("ratio", F.lit(0.0))
+    for name, rows, sign in (("trusted", trusted, -1), ("toxic", toxic, 1)):
+        counted = map_arrow(rows.groupBy("word", "text").agg(F.count("*").alias("n")), _spell, WORD_GRAMS)
+        own = Model(counted.select("key", "n"), Scratch(spark, f"quality-{name}-words"), counted=True).log_probability(keys)
+        ratios = ratios.join(own, "key").select("key", (F.col("ratio") + sign * F.col("lp")).alias("ratio"))
+    ratios = scratch.keep(ratios, "key-ratios")
+    summed = small_join(spelt, ratios, ["key"], "inner", ratios.count(), BROADCAST_IDS).groupBy("word").agg(F.sum("ratio").alias("ratio"))
+    return scratch.keep(summed, "ratios")
+
+
+def _limits(held: DataFrame, value: str, quantile: float) -> tuple[DataFrame, float | None]:
+    """(l, own): the quantile of value of each language, "" for null, with LEAST_HELD_OUT rows (lang, value); and that of all."""
+    level = F.percentile_approx(value, quantile, 10_000)
+    by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(level.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_HELD_OUT).drop("n")
+    return by_lang, held.agg(level).first()[0]
+
+
+def _by_lang(rows: DataFrame, limits: tuple[DataFrame, float | None], name: str) -> DataFrame:
+    by_lang, overall = limits
+    joined = rows.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("l"), "left")
+    return joined.withColumn(name, F.coalesce("own", F.lit(overall).cast("double"))).drop("l", "own")
+
+
+def toxic_rows(base: DataFrame, good: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = WORST_QUANTILE) -> DataFrame | None:
+    """(row) of every row of base (doc_id, lang, text, row) with a toxic word; None without labels to learn from.
+
+    good: trusted documents (doc_id, held_out). A word's limit in a language is the quantile of the worst words
+    of the documents that are held out, of all languages together where it has few of them.
+    """
+    bad = labels.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    bad = scratch.keep(bad.filter(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) != 0), "toxic")
+    held_ids = scratch.keep(good.filter("held_out").select("doc_id"), "held-out")
+    ids = scratch.keep(good.filter("not held_out").select("doc_id"), "trusted-words")
+    n_bad, n_held, n_ids = bad.count(), held_ids.count(), ids.count()
+    if not n_bad or not n_held or not n_ids:
+        return None
+    of = lambda keys, n, *names: _words(small_join(base, keys, ["doc_id"], "left_semi", n, BROADCAST_IDS), *names)
+    ratios = word_ratios(_words(base).distinct(), of(ids, n_ids), of(bad, n_bad))
+    held = of(held_ids, n_held, "row", "lang").drop("text").join(ratios, "word")
+    held = scratch.keep(held.groupBy("row", "lang").agg(F.max("ratio").alias("worst")), "worst")
+    limits = _limits(held, "worst", quantile)
+    if limits[1] is None:
+        return None
+    least = min([limits[1], *(r["own"] for r in limits[0].select(F.min("own").alias("own")).collect() if r["own"] is not None)])
+    # only words beyond the lowest limit can decide a text
+    beyond = scratch.keep(ratios.filter(F.col("ratio") > least), "beyond")
+    hits = small_join(_words(base, "row", "lang").drop("text"), beyond, ["word"], "inner", beyond.count())
+    worst = hits.groupBy("row", "lang").agg(F.max("ratio").alias("worst"))
+    return scratch.keep(_by_lang(worst, limits, "limit").filter("worst > limit").select("row").distinct(), "toxic-rows")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cache_size: int = CACHE) -> DataFrame:
-    """doc_id, lang, trusted, perplexity, threshold and keep of every row of docs (doc_id, text, lang), and row.
+    """doc_id, lang, trusted, perplexity, threshold, toxic and keep of every row of docs (doc_id, text, lang), and row.
 
     Trusted are the documents with a label of quality 1 and not toxic; a part of 1/FOLDS of them, by a
     hash of doc_id, is held out of training, and the quantile of its perplexities is the threshold of
@@ -217,7 +300,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     of all languages together; without any trusted document everything is kept. Null and empty texts
     have one symbol, their end, and are scored like others. Repeated rows have equal results, a
     doc_id with several labels is trusted if all of them are good. row tells rows of different doc_id
-    or text apart.
+    or text apart. toxic: a word of the text is far likelier in documents labelled toxic than in trusted ones
+    (toxic_rows); such rows are not kept. Without toxic labels no row is toxic.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     doc_id, body = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
@@ -230,12 +314,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     found = perplexities(base.select("row", "text"), model, scratch, cache_size).dropDuplicates(["row"])
     named = base.select("doc_id", "lang", "row").join(good, "doc_id", "left").join(found, "row")
     named = scratch.keep(named.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "named")
-    held = named.filter("held_out")
-    level = F.percentile_approx("perplexity", quantile, 10_000)
-    overall = held.agg(level).first()[0]
-    by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(level.alias("own"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_HELD_OUT).drop("n")
-    joined = named.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("l"), "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
-    return joined.select("doc_id", "lang", "trusted", "perplexity", "threshold", (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))).alias("keep"), "row")
+    joined = _by_lang(named, _limits(named.filter("held_out"), "perplexity", quantile), "threshold")
+    toxic = toxic_rows(base, good, labels, scratch)
+    if toxic is None:
+        joined = joined.withColumn("toxic", F.lit(False))
+    else:
+        joined = joined.join(toxic.withColumn("toxic", F.lit(True)), "row", "left").withColumn("toxic", F.coalesce("toxic", F.lit(False)))
+    keep = (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))) & ~F.col("toxic")
+    return joined.select("doc_id", "lang", "trusted", "perplexity", "threshold", "toxic", keep.alias("keep"), "row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

@@ -449,6 +449,23 @@ def test_classifier_rejects_junk(spark, messy, nothing):
     assert quality.keep_good(messy, labels.filter("doc_id < -1")).count() == messy.count()
 
 
+def test_classifier_rejects_toxic_words(spark):
+    insults = ["worthless", "scumbag", "idiot"]
+
+    def with_insults(seed):
+        t = prose(seed, 300).split()
+        return " ".join([*t[:100], insults[seed % 3], *t[100:200], insults[(seed + 1) % 3].upper() + "!", *t[200:]])
+
+    docs = [(k, prose(k, 300), "en" if k % 2 else "fr") for k in range(300)] + [(1000 + k, with_insults(5000 + k), "en" if k % 3 else None) for k in range(60)] + [(2000 + k, prose(3000 + k, 300), "en") for k in range(50)]
+    # only the first 30 toxic documents are labelled
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)] + [(1000 + k, 1, 1) for k in range(30)], "doc_id long, quality int, toxic int")
+    got = quality.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect()
+    assert len(got) == len(docs)
+    assert all(r["toxic"] and not r["keep"] for r in got if 1000 <= r["doc_id"] < 2000)
+    # a quantile of 30 documents that are held out of a language is their maximum
+    assert sum(r["keep"] for r in got if r["doc_id"] >= 2000) >= 42 and sum(r["toxic"] for r in got if r["doc_id"] < 1000) <= 3
+
+
 # ---------------------------------------------------------------- language model
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import decontaminate, fingerprint, html_extract, jaccard, lm_score, packing, quality, sharding, substring, warc
+from . import decontaminate, fingerprint, html_extract, jaccard, lm_score, packing, pipeline, quality, sharding, substring, warc
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": jaccard.op8,
         "op9_document_fingerprints": fingerprint.op9,
         "op10_warc": warc.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

@@ -6,6 +6,7 @@ same in every process.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +15,23 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SHINGLE = 5
+#: Words hashed at once, and the bytes from which on a word stands for its digest, so that the arrays of one block stay small.
+BLOCK, LONG = 1 << 15, 1 << 10
+#: Powers are kept up to this many; texts of longer blocks get theirs for once.
+MOST_POWERS = 1 << 20
 
 
 def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(2 * n, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for b in (_BASE, _INVERSE):
+        steps = np.full(min(2 * n, max(n, MOST_POWERS)), b, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= MOST_POWERS:
+        _powers[:] = made
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list[str], most: int = 1 << 21) -> Iterator[slice]:
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[slice]:
     """Slices of texts with about that many characters, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -62,9 +71,22 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def hash_words(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, text after text, and each text's number of words."""
-    data, starts, ends, counts = spans(split)
-    return hash_spans(data, starts, ends), counts
+    """Hashes of all words, text after text, and each text's number of words; in blocks, so that memory does not grow with the bytes of a text."""
+    counts = np.array([len(w) for w in split], np.int64)
+    flat = split[0] if len(split) == 1 else [w for t in split for w in t]
+    out = np.zeros(len(flat), np.uint64)
+    for at in range(0, len(flat), BLOCK):
+        block = flat[at : at + BLOCK]
+        if max(map(len, block)) > LONG:
+            block = [w if len(w) <= LONG else "\0" + hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() for w in block]
+        out[at : at + BLOCK] = hash_spans(*spans([block])[:3])
+    return out, counts
+
+
+def slices(batch, rows: int = 256) -> Iterator:
+    """Slices of an Arrow batch, so that few texts are Python strings at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

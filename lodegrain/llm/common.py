@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import math
 import os
@@ -10,6 +11,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,19 @@ def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str, rows:
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of counts with the largest n, most of them at most, without a sort: those above a limit that a histogram of n gives."""
+    steps = 64  # to a doubling, so that ties and near ties stay out together
+    level = F.floor(F.log2("n") * steps).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["level"]
+    return counts.filter(level >= least) if least is not None else counts.limit(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application."""
     sc = spark.sparkContext
@@ -85,10 +100,24 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(path)
 
 
+def free_memory() -> None:
+    """Give memory that a worker no longer uses back, as it may live on beside tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        free_memory()
+
+    return df.mapInArrow(run, schema)
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -128,4 +157,4 @@ def cumulative(values: list[float]) -> list[float]:
     return out
 
 
-__all__ = ["Scratch", "free_name", "map_arrow", "ship", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]
+__all__ = ["Scratch", "commonest", "free_memory", "free_name", "map_arrow", "ship", "release_all", "small_join", "literal_rows", "rank_of", "cumulative", "shared_folder"]

@@ -9,12 +9,18 @@ n-gram or its context is unknown, and summed up again. So every perplexity is ex
 kept if its perplexity is at most a quantile of those of trusted documents of its language that were
 held out of training, and if no word of it is toxic. The mean over a text hides a few words, so words
 are judged one by one: two more models, of the words of trusted and of toxic documents, give every
-distinct word the ratio of its probabilities, and a word is toxic if its ratio is beyond the worst
-words of nearly all trusted documents that were held out.
+word the ratio of its probabilities, and a word is toxic if its ratio is beyond the worst words of
+nearly all trusted documents that were held out. These two are fitted on a bounded sample of the
+labelled documents, so they are small arrays that every task holds.
+
+Symbols are code points; those beyond PLAIN are two symbols, of which the first names a block of 1024
+code points, so that no two code points share a symbol.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,34 +28,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, small_join
+from . import words
+from .common import Scratch, commonest, map_arrow, small_join
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
-#: Symbols: 1 starts a text (ORDER - 1 times) and 2 ends it; code points up to PLAIN are symbols of
-#: their own, and those beyond share the symbols that are left.
-START, END, PLAIN = 1, 2, 3071
+#: Symbols: 1 starts a text (ORDER - 1 times) and 2 ends it; code points up to PLAIN are symbols of their own.
+START, END, PLAIN = 1, 2, 2047
+WIDE = 10
 CACHE = 1 << 18
 QUANTILE, FOLDS, LEAST_HELD_OUT = 0.99, 5, 20
 WORST_QUANTILE = 0.998
 BROADCAST_IDS = 2_000_000
+#: Documents of each kind, toxic and trusted, that the models of words are fitted on, at most.
+LABELLED = 50_000
+WORD = re.compile(r"[^\W_]+")
+REMEMBERED = 200_000
 COUNTS = "key long, n long"
 COUNTS_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-WORD_GRAMS = "word long, key long, n long"
-WORD_GRAMS_ARROW = pa.schema([("word", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
-SCORES = "row long, own long, known double, symbols long, keys array<long>, times array<int>"
-SCORES_ARROW = pa.schema([("row", pa.int64()), ("own", pa.int64()), ("known", pa.float64()), ("symbols", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+WORD_GRAMS = "kind int, key long, n long"
+WORD_GRAMS_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+SCORES = "row long, own long, known double, symbols long, keys array<long>, times array<int>, worst double"
+SCORES_ARROW = pa.schema([("row", pa.int64()), ("own", pa.int64()), ("known", pa.float64()), ("symbols", pa.int64()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("worst", pa.float64())])
 
 
 def symbols(text: str) -> np.ndarray:
     """The padded symbols of a text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(codes <= PLAIN, np.maximum(codes, 3), PLAIN + 1 + codes % (SYMBOLS - PLAIN - 1))
+    wide = codes > PLAIN
+    if wide.any():
+        at = np.cumsum(1 + wide) - 1
+        out = np.empty(int(at[-1]) + 1, np.int64)
+        block = np.where(wide, PLAIN + 1 + (codes >> WIDE) % (1 << WIDE), 0)
+        out[at[wide] - 1] = block[wide]
+        out[at] = np.where(wide, PLAIN + 1 + (1 << WIDE) + codes % (1 << WIDE), np.maximum(codes, 3))
+        codes = out
+    else:
+        codes = np.maximum(codes, 3)
     return np.concatenate((np.full(ORDER - 1, START), codes, [END]))
 
 
 def grams(text: str) -> np.ndarray:
-    """Every n-gram of the highest order of a text, packed in 60 bits; as many as code points and one."""
+    """Every n-gram of the highest order of a text, packed in 60 bits; as many as symbols and one."""
     s = symbols(text)
     out = np.zeros(len(s) - ORDER + 1, np.int64)
     for k in range(ORDER):
@@ -57,7 +77,7 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
-def _count(most: int = 1 << 23):
+def _count(most: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -78,14 +98,98 @@ def _count(most: int = 1 << 23):
     return run
 
 
-def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, text, n) to the n-grams of each word."""
-    for batch in batches:
-        held = [grams(t) for t in batch.column("text").to_pylist()]
-        if held:
-            sizes = [len(g) for g in held]
-            word, n = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("word", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.concatenate(held)), pa.array(n)], schema=WORD_GRAMS_ARROW)
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, text) to the n-grams of the distinct words of each text, counted."""
+    for whole in batches:
+        for batch in words.slices(whole, 1000):
+            found: dict[int, Counter] = {}
+            for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text")):
+                found.setdefault(kind, Counter()).update(set(WORD.findall(text.as_py().lower())))
+            for kind, counted in found.items():
+                if not counted:
+                    continue
+                spelt = [grams(w) for w in counted]
+                keys, at = np.unique(np.concatenate(spelt), return_inverse=True)
+                n = np.bincount(at, np.repeat(list(counted.values()), [len(g) for g in spelt])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys), pa.array(n)], schema=WORD_GRAMS_ARROW)
+
+
+class SmallModel:
+    """The model of Model, from counted n-grams (key, n) in memory."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        tables = {ORDER: (keys[order], n[order])}
+        for k in range(ORDER - 1, 0, -1):
+            tables[k] = np.unique(tables[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        below, p = None, None
+        for k in range(1, ORDER + 1):
+            keys, n = tables[k]
+            d = discounts(*(int((n == j).sum()) for j in (1, 2, 3, 4)))
+            taken = np.where(n == 1, d[0], np.where(n == 2, d[1], d[2]))
+            contexts, at = np.unique(keys >> BITS, return_inverse=True)
+            total = np.bincount(at, n)
+            weight = np.bincount(at, taken) / total
+            lower = 1.0 / SYMBOLS if below is None else p[np.searchsorted(below, keys & ((1 << BITS * (k - 1)) - 1))]
+            below, p = keys, (n - taken) / total[at] + weight[at] * lower
+            self.levels.append((keys, p, contexts, weight))
+
+    def log_probability(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each n-gram of the highest order."""
+        out, w, left, own = np.full(len(keys), np.nan), np.ones(len(keys)), np.arange(len(keys)), keys
+        for k in range(ORDER, 0, -1):
+            known, p, contexts, weight = self.levels[k - 1]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            out[left[hit]] = w[hit] * p[at[hit]]
+            left, w, own = left[~hit], w[~hit], own[~hit]
+            at = np.minimum(np.searchsorted(contexts, own >> BITS), len(contexts) - 1)
+            w = np.where(contexts[at] == own >> BITS, w * weight[at], w)
+            own = own & ((1 << BITS * (k - 1)) - 1)
+        out[left] = w / SYMBOLS
+        return np.log10(out)
+
+
+class Words:
+    """log10 of the probability of words as toxic ones against that as trusted ones."""
+
+    def __init__(self, trusted: SmallModel, toxic: SmallModel):
+        self.trusted, self.toxic = trusted, toxic
+        self.ratios: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.trusted, self.toxic
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the greatest ratio of the words of each piece, a run of characters that are not white space."""
+        if len(self.ratios) > REMEMBERED:
+            self.ratios.clear()
+        own = [(p, w) for p in pieces for w in WORD.findall(p)]
+        for p in pieces:
+            self.ratios[p] = -np.inf
+        if own:
+            spelt = [grams(w) for _, w in own]
+            keys = np.concatenate(spelt)
+            gain = self.toxic.log_probability(keys) - self.trusted.log_probability(keys)
+            starts = np.cumsum([0, *(len(g) for g in spelt[:-1])])
+            for (p, _), r in zip(own, np.add.reduceat(gain, starts).tolist()):
+                self.ratios[p] = max(self.ratios[p], r)
+
+    def worst(self, text: str) -> float | None:
+        """The greatest ratio of the words, runs of letters and digits in lower case, of a text; None without one."""
+        pieces = set(text.lower().split())
+        if new := [p for p in pieces if p not in self.ratios]:
+            self.learn(new)
+            pieces_new = set(new)
+            # learn may have forgotten the others
+            if missing := [p for p in pieces if p not in self.ratios and p not in pieces_new]:
+                self.learn(missing)
+        worst = max(map(self.ratios.__getitem__, pieces), default=-np.inf)
+        return None if worst == -np.inf else worst
 
 
 class Cache:
@@ -128,15 +232,17 @@ class Cache:
         return found, values
 
 
-def _score(cache):
+def _score(cache, spelling=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words = None if spelling is None else spelling.value
         for batch in batches:
             rows = []
             for row, own, text in zip(batch.column("row").to_pylist(), batch.column("own").to_pylist(), batch.column("text")):
-                g = grams(text.as_py())
+                text = text.as_py()
+                g = grams(text)
                 found, values = cache.value.look_up(g)
                 keys, times = np.unique(g[~found], return_counts=True)
-                rows.append((row, own, float(values.sum()), len(g), keys, times.astype(np.int32)))
+                rows.append((row, own, float(values.sum()), len(g), keys, times.astype(np.int32), own_words.worst(text) if own_words else None))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCORES_ARROW)], schema=SCORES_ARROW)
                     rows = []
@@ -207,47 +313,25 @@ class Model:
         return out.select("key", F.log10(F.coalesce("p", F.col("w") * self.base)).alias("lp"))
 
 
-def perplexities(rows: DataFrame, model: Model, scratch: Scratch, cache_size: int = CACHE) -> DataFrame:
-    """(row, symbols, perplexity) of each of rows (row, text), text without nulls; row may repeat."""
+def perplexities(rows: DataFrame, model: Model, scratch: Scratch, cache_size: int = CACHE, spelling=None) -> DataFrame:
+    """(row, symbols, perplexity, worst) of each of rows (row, text), text without nulls; row may repeat.
+
+    spelling: broadcast Words, for the column worst.
+    """
     spark = rows.sparkSession
-    top = model.counts.orderBy(F.desc("n"), "key").limit(cache_size).join(model.p[ORDER], "key").select("key", F.log10("p").alias("lp"))
+    top = commonest(model.counts, cache_size).join(model.p[ORDER], "key").select("key", F.log10("p").alias("lp"))
     # at most cache_size entries of 16 bytes
     held = top.toPandas()
     cache = spark.sparkContext.broadcast(Cache(held["key"].to_numpy(np.int64), held["lp"].to_numpy(np.float64)))
     # own tells repeated rows apart; it is written with the scores, so it stays the same whatever is computed again
     numbered = rows.withColumn("own", F.monotonically_increasing_id())
-    scored = scratch.keep(map_arrow(numbered, _score(cache), SCORES), "scored")
+    scored = scratch.keep(map_arrow(numbered, _score(cache, spelling), SCORES), "scored")
     misses = scored.select("own", F.explode(F.arrays_zip("keys", "times")).alias("m")).select("own", F.col("m.keys").alias("key"), F.col("m.times").alias("times"))
     resolved = scratch.keep(model.log_probability(misses.select("key").distinct()), "resolved")
     summed = misses.join(resolved, "key").groupBy("own").agg(F.sum(F.col("times") * F.col("lp")).alias("rest"))
-    found = scored.select("row", "own", "known", "symbols").join(summed, "own", "left")
+    found = scored.select("row", "own", "known", "symbols", "worst").join(summed, "own", "left")
     total = F.col("known") + F.coalesce("rest", F.lit(0.0))
-    return found.select("row", "symbols", F.pow(F.lit(10.0), -total / F.col("symbols")).alias("perplexity"))
-
-
-def _words(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, word, text) of the distinct words, runs of letters and digits in lower case, of rows with keys and text."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return texts.select(*keys, F.explode(found).alias("text")).select(*keys, F.xxhash64("text").alias("word"), "text")
-
-
-def word_ratios(vocabulary: DataFrame, trusted: DataFrame, toxic: DataFrame) -> DataFrame:
-    """(word, ratio): log10 of the probability of each word as a toxic one against that as a trusted one.
-
-    vocabulary: (word, text); trusted, toxic: words of documents (word, text), a row for each document.
-    """
-    spark = vocabulary.sparkSession
-    scratch = Scratch(spark, "quality-words")
-    spelt = scratch.keep(map_arrow(vocabulary.withColumn("n", F.lit(1).cast("long")), _spell, WORD_GRAMS).select("word", "key"), "spelt")
-    keys = scratch.keep(spelt.select("key").distinct(), "keys")
-    ratios = keys.withColumn("ratio", F.lit(0.0))
-    for name, rows, sign in (("trusted", trusted, -1), ("toxic", toxic, 1)):
-        counted = map_arrow(rows.groupBy("word", "text").agg(F.count("*").alias("n")), _spell, WORD_GRAMS)
-        own = Model(counted.select("key", "n"), Scratch(spark, f"quality-{name}-words"), counted=True).log_probability(keys)
-        ratios = ratios.join(own, "key").select("key", (F.col("ratio") + sign * F.col("lp")).alias("ratio"))
-    ratios = scratch.keep(ratios, "key-ratios")
-    summed = small_join(spelt, ratios, ["key"], "inner", ratios.count(), BROADCAST_IDS).groupBy("word").agg(F.sum("ratio").alias("ratio"))
-    return scratch.keep(summed, "ratios")
+    return found.select("row", "symbols", "worst", F.pow(F.lit(10.0), -total / F.col("symbols")).alias("perplexity"))
 
 
 def _limits(held: DataFrame, value: str, quantile: float) -> tuple[DataFrame, float | None]:
@@ -263,32 +347,30 @@ def _by_lang(rows: DataFrame, limits: tuple[DataFrame, float | None], name: str)
     return joined.withColumn(name, F.coalesce("own", F.lit(overall).cast("double"))).drop("l", "own")
 
 
-def toxic_rows(base: DataFrame, good: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = WORST_QUANTILE) -> DataFrame | None:
-    """(row) of every row of base (doc_id, lang, text, row) with a toxic word; None without labels to learn from.
+def _sampled(ids: DataFrame, n: int) -> DataFrame:
+    """Of n distinct ids (doc_id), about LABELLED by a hash, or all if they are no more."""
+    return ids if n <= LABELLED else ids.filter(F.pmod(F.xxhash64(F.lit("labelled"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * LABELLED / n))
 
-    good: trusted documents (doc_id, held_out). A word's limit in a language is the quantile of the worst words
-    of the documents that are held out, of all languages together where it has few of them.
+
+def fit_words(base: DataFrame, good: DataFrame, labels: DataFrame, scratch: Scratch) -> Words | None:
+    """Models of the words of toxic and of trusted documents of base (doc_id, text); None without labels to learn from.
+
+    good: trusted documents (doc_id, held_out). Both models see LABELLED documents of their kind at most.
     """
     bad = labels.filter("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    bad = scratch.keep(bad.filter(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) != 0), "toxic")
-    held_ids = scratch.keep(good.filter("held_out").select("doc_id"), "held-out")
-    ids = scratch.keep(good.filter("not held_out").select("doc_id"), "trusted-words")
-    n_bad, n_held, n_ids = bad.count(), held_ids.count(), ids.count()
-    if not n_bad or not n_held or not n_ids:
+    kinds = (good.filter("not held_out").select("doc_id"), bad.filter(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) != 0))
+    ids = None
+    for kind, own in enumerate(kinds):
+        some = _sampled(own, own.count()).select("doc_id", F.lit(kind).alias("kind"))
+        ids = some if ids is None else ids.unionByName(some)
+    ids = scratch.keep(ids, "labelled")
+    # 12 bytes a labelled document, of a bounded number
+    texts = base.join(F.broadcast(ids), "doc_id").select("kind", "text")
+    counted = map_arrow(texts, _word_grams, WORD_GRAMS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    models = [counted[counted["kind"] == k] for k in (0, 1)]
+    if not all(map(len, models)):
         return None
-    of = lambda keys, n, *names: _words(small_join(base, keys, ["doc_id"], "left_semi", n, BROADCAST_IDS), *names)
-    ratios = word_ratios(_words(base).distinct(), of(ids, n_ids), of(bad, n_bad))
-    held = of(held_ids, n_held, "row", "lang").drop("text").join(ratios, "word")
-    held = scratch.keep(held.groupBy("row", "lang").agg(F.max("ratio").alias("worst")), "worst")
-    limits = _limits(held, "worst", quantile)
-    if limits[1] is None:
-        return None
-    least = min([limits[1], *(r["own"] for r in limits[0].select(F.min("own").alias("own")).collect() if r["own"] is not None)])
-    # only words beyond the lowest limit can decide a text
-    beyond = scratch.keep(ratios.filter(F.col("ratio") > least), "beyond")
-    hits = small_join(_words(base, "row", "lang").drop("text"), beyond, ["word"], "inner", beyond.count())
-    worst = hits.groupBy("row", "lang").agg(F.max("ratio").alias("worst"))
-    return scratch.keep(_by_lang(worst, limits, "limit").filter("worst > limit").select("row").distinct(), "toxic-rows")
+    return Words(*(SmallModel(m["key"].to_numpy(np.int64), m["n"].to_numpy(np.int64)) for m in models))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cache_size: int = CACHE) -> DataFrame:
@@ -300,8 +382,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     of all languages together; without any trusted document everything is kept. Null and empty texts
     have one symbol, their end, and are scored like others. Repeated rows have equal results, a
     doc_id with several labels is trusted if all of them are good. row tells rows of different doc_id
-    or text apart. toxic: a word of the text is far likelier in documents labelled toxic than in trusted ones
-    (toxic_rows); such rows are not kept. Without toxic labels no row is toxic.
+    or text apart. worst: how much likelier, in powers of ten, the worst word of the text is in
+    documents labelled toxic than in trusted ones; null without a word, or without toxic labels. toxic:
+    worst is beyond the WORST_QUANTILE of that of trusted documents held out, of the row's language
+    where there are enough; such rows are not kept. Texts are read whole. An empty table gives an empty
+    result, and a perplexity equal to its threshold is kept. Other columns of docs and labels are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     doc_id, body = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
@@ -311,17 +396,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     # 8 bytes a trusted document: up to BROADCAST_IDS of them go to the texts, beyond that the texts are shuffled
     ids = scratch.keep(good.filter("not held_out").select("doc_id"), "trusted")
     model = Model(small_join(base, ids, ["doc_id"], "left_semi", ids.count(), BROADCAST_IDS).select("text"), scratch)
-    found = perplexities(base.select("row", "text"), model, scratch, cache_size).dropDuplicates(["row"])
+    fitted = fit_words(base, good, labels, scratch)
+    spelling = docs.sparkSession.sparkContext.broadcast(fitted) if fitted else None
+    found = perplexities(base.select("row", "text"), model, scratch, cache_size, spelling).dropDuplicates(["row"])
     named = base.select("doc_id", "lang", "row").join(good, "doc_id", "left").join(found, "row")
     named = scratch.keep(named.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "named")
-    joined = _by_lang(named, _limits(named.filter("held_out"), "perplexity", quantile), "threshold")
-    toxic = toxic_rows(base, good, labels, scratch)
-    if toxic is None:
-        joined = joined.withColumn("toxic", F.lit(False))
-    else:
-        joined = joined.join(toxic.withColumn("toxic", F.lit(True)), "row", "left").withColumn("toxic", F.coalesce("toxic", F.lit(False)))
+    held = named.filter("held_out")
+    joined = _by_lang(named, _limits(held, "perplexity", quantile), "threshold")
+    joined = _by_lang(joined, _limits(held, "worst", WORST_QUANTILE), "limit")
+    joined = joined.withColumn("toxic", F.coalesce(F.col("worst") > F.col("limit"), F.lit(False)))
     keep = (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))) & ~F.col("toxic")
-    return joined.select("doc_id", "lang", "trusted", "perplexity", "threshold", "toxic", keep.alias("keep"), "row")
+    return joined.select("doc_id", "lang", "trusted", "perplexity", "threshold", "worst", "toxic", keep.alias("keep"), "row")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:

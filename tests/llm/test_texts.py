@@ -417,7 +417,32 @@ def test_perplexity_against_brute_force(spark):
         for k, text in enumerate(others):
             s = quality.symbols(text).tolist()
             lp = sum(math.log10(p(tuple(s[i : i + quality.ORDER]))) for i in range(len(s) - quality.ORDER + 1))
-            assert got[k]["symbols"] == len(text) + 1 and got[k]["perplexity"] == pytest.approx(10 ** (-lp / (len(text) + 1)), rel=1e-9)
+            n = len(s) - quality.ORDER + 1
+            assert n == len(text) + 1 + sum(ord(c) > quality.PLAIN for c in text)
+            assert got[k]["symbols"] == n and got[k]["perplexity"] == pytest.approx(10 ** (-lp / n), rel=1e-9)
+
+
+def test_code_points_share_no_symbols():
+    codes = [*range(3, 0xD800), *range(0xE000, 0xF0000, 7)]
+    assert len({tuple(quality.symbols(chr(c)).tolist()) for c in codes}) == len(codes)
+
+
+def test_small_model_is_the_model():
+    trusted = [prose(k, 25) for k in range(12)]
+    keys, n = np.unique(np.concatenate([quality.grams(t) for t in trusted]), return_counts=True)
+    model, p = quality.SmallModel(keys, n), brute_kneser_ney(trusted)
+    for text in (prose(99, 20), "ZZZ!! 中文", "", trusted[0]):
+        s = quality.symbols(text).tolist()
+        want = [math.log10(p(tuple(s[i : i + quality.ORDER]))) for i in range(len(s) - quality.ORDER + 1)]
+        assert model.log_probability(quality.grams(text)) == pytest.approx(want, rel=1e-9)
+
+
+def test_commonest(spark):
+    from lodegrain.llm.common import commonest
+
+    counts = spark.createDataFrame([(k, 1 + k // 3) for k in range(300)], "key long, n long")
+    assert {r["key"] for r in commonest(counts, 10).collect()} == set(range(291, 300))
+    assert commonest(counts, 0).count() == 0 and commonest(counts, 1000).count() == 300
 
 
 def test_model_is_normalised():

@@ -93,6 +93,9 @@ def test_messy_near_duplicates(spark, messy, nothing):
 def test_band_count():
     n = jaccard.band_count(0.8, 4, 0.999)
     assert 1 - (1 - 0.8**4) ** n >= 0.999 > 1 - (1 - 0.8**4) ** (n - 1)
+    p, n = 0.8**4, jaccard.band_count(0.8, 4, 0.999, 2)
+    least = lambda n: 1 - (1 - p) ** n - n * p * (1 - p) ** (n - 1)
+    assert least(n) >= 0.999 > least(n - 1)
 
 
 def test_blocks_take_over_from_pivots(spark, monkeypatch):

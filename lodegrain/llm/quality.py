@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, commonest, map_arrow, small_join
+from .common import Scratch, commonest, free_memory, map_arrow, small_join
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
@@ -108,9 +108,9 @@ def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, counted in found.items():
                 if not counted:
                     continue
-                spelt = [grams(w) for w in counted]
-                keys, at = np.unique(np.concatenate(spelt), return_inverse=True)
-                n = np.bincount(at, np.repeat(list(counted.values()), [len(g) for g in spelt])).astype(np.int64)
+                own, sizes = spelt(list(counted))
+                keys, at = np.unique(own, return_inverse=True)
+                n = np.bincount(at, np.repeat(list(counted.values()), sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys), pa.array(n)], schema=WORD_GRAMS_ARROW)
 
 
@@ -151,47 +151,6 @@ class SmallModel:
         return np.log10(out)
 
 
-class Words:
-    """log10 of the probability of words as toxic ones against that as trusted ones."""
-
-    def __init__(self, trusted: SmallModel, toxic: SmallModel):
-        self.trusted, self.toxic = trusted, toxic
-        self.ratios: dict[str, float] = {}
-
-    def __getstate__(self):
-        return self.trusted, self.toxic
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remember the greatest ratio of the words of each piece, a run of characters that are not white space."""
-        if len(self.ratios) > REMEMBERED:
-            self.ratios.clear()
-        own = [(p, w) for p in pieces for w in WORD.findall(p)]
-        for p in pieces:
-            self.ratios[p] = -np.inf
-        if own:
-            spelt = [grams(w) for _, w in own]
-            keys = np.concatenate(spelt)
-            gain = self.toxic.log_probability(keys) - self.trusted.log_probability(keys)
-            starts = np.cumsum([0, *(len(g) for g in spelt[:-1])])
-            for (p, _), r in zip(own, np.add.reduceat(gain, starts).tolist()):
-                self.ratios[p] = max(self.ratios[p], r)
-
-    def worst(self, text: str) -> float | None:
-        """The greatest ratio of the words, runs of letters and digits in lower case, of a text; None without one."""
-        pieces = set(text.lower().split())
-        if new := [p for p in pieces if p not in self.ratios]:
-            self.learn(new)
-            pieces_new = set(new)
-            # learn may have forgotten the others
-            if missing := [p for p in pieces if p not in self.ratios and p not in pieces_new]:
-                self.learn(missing)
-        worst = max(map(self.ratios.__getitem__, pieces), default=-np.inf)
-        return None if worst == -np.inf else worst
-
-
 class Cache:
     """An open-addressing table of long keys and float values, of fixed size."""
 
@@ -232,20 +191,92 @@ class Cache:
         return found, values
 
 
+def spelt(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of many words, one after the other, and how many each has; without a loop over them."""
+    codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) for w in found], np.int64)
+    wide = codes > PLAIN
+    if wide.any():
+        split = symbols("".join(found))[ORDER - 1 : -1]
+        ends = np.cumsum(1 + wide)[np.cumsum(sizes) - 1]
+        codes, sizes = split, np.diff(ends, prepend=0)
+    else:
+        codes = np.maximum(codes, 3)
+    starts = np.cumsum(sizes + ORDER) - sizes - ORDER
+    s = np.full(int(sizes.sum()) + ORDER * len(sizes), START, np.int64)
+    s[np.repeat(starts + ORDER - 1, sizes) + words.inside(sizes)] = codes
+    s[starts + ORDER - 1 + sizes] = END
+    at = np.repeat(starts, sizes + 1) + words.inside(sizes + 1)
+    out = np.zeros(len(at), np.int64)
+    for k in range(ORDER):
+        out = out << BITS | s[at + k]
+    return out, sizes + 1
+
+
+class Words:
+    """log10 of the probability of words as toxic ones against that as trusted ones."""
+
+    def __init__(self, trusted: SmallModel, toxic: SmallModel):
+        self.trusted, self.toxic = trusted, toxic
+        known = np.union1d(trusted.levels[-1][0], toxic.levels[-1][0])
+        self.gains = Cache(known, self._gain(known))
+        self.ratios: dict[str, float] = {}
+
+    def _gain(self, keys: np.ndarray) -> np.ndarray:
+        return self.toxic.log_probability(keys) - self.trusted.log_probability(keys)
+
+    def __getstate__(self):
+        return self.trusted, self.toxic, self.gains
+
+    def __setstate__(self, state):
+        self.trusted, self.toxic, self.gains = state
+        self.ratios = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remember the greatest ratio of the words of each piece, a run of characters that are not white space."""
+        self.ratios.update(dict.fromkeys(pieces, -np.inf))
+        own, found = [], []
+        for p in pieces:
+            if p.isalnum():
+                own.append(p)
+                found.append(p)
+            else:
+                for w in WORD.findall(p):
+                    own.append(p)
+                    found.append(w)
+        if not found:
+            return
+        keys, sizes = spelt(found)
+        known, gain = self.gains.look_up(keys)
+        if not known.all():
+            gain[~known] = self._gain(keys[~known])
+        for p, r in zip(own, np.add.reduceat(gain, np.cumsum(sizes) - sizes).tolist()):
+            if r > self.ratios[p]:
+                self.ratios[p] = r
+
+    def worst(self, texts: list[str]) -> list[float | None]:
+        """The greatest ratio of the words, runs of letters and digits in lower case, of each text; None without one."""
+        held = [set(t.lower().split()) for t in texts]
+        pieces = set().union(*held)
+        if len(self.ratios) > REMEMBERED:
+            self.ratios.clear()
+        if new := [p for p in pieces if p not in self.ratios]:
+            self.learn(new)
+        found = [max(map(self.ratios.__getitem__, h), default=-np.inf) for h in held]
+        return [None if r == -np.inf else r for r in found]
+
+
 def _score(cache, spelling=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words = None if spelling is None else spelling.value
-        for batch in batches:
-            rows = []
-            for row, own, text in zip(batch.column("row").to_pylist(), batch.column("own").to_pylist(), batch.column("text")):
-                text = text.as_py()
+        for batch in (b for whole in batches for b in words.slices(whole)):
+            rows, texts = [], batch.column("text").to_pylist()
+            worst = own_words.worst(texts) if own_words else [None] * len(texts)
+            for row, own, text, w in zip(batch.column("row").to_pylist(), batch.column("own").to_pylist(), texts, worst):
                 g = grams(text)
                 found, values = cache.value.look_up(g)
                 keys, times = np.unique(g[~found], return_counts=True)
-                rows.append((row, own, float(values.sum()), len(g), keys, times.astype(np.int32), own_words.worst(text) if own_words else None))
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCORES_ARROW)], schema=SCORES_ARROW)
-                    rows = []
+                rows.append((row, own, float(values.sum()), len(g), keys, times.astype(np.int32), w))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCORES_ARROW)], schema=SCORES_ARROW)
 
@@ -321,8 +352,10 @@ def perplexities(rows: DataFrame, model: Model, scratch: Scratch, cache_size: in
     spark = rows.sparkSession
     top = commonest(model.counts, cache_size).join(model.p[ORDER], "key").select("key", F.log10("p").alias("lp"))
     # at most cache_size entries of 16 bytes
-    held = top.toPandas()
-    cache = spark.sparkContext.broadcast(Cache(held["key"].to_numpy(np.int64), held["lp"].to_numpy(np.float64)))
+    held = top.toArrow()
+    cache = spark.sparkContext.broadcast(Cache(held["key"].to_numpy(), held["lp"].to_numpy()))
+    del held
+    free_memory()
     # own tells repeated rows apart; it is written with the scores, so it stays the same whatever is computed again
     numbered = rows.withColumn("own", F.monotonically_increasing_id())
     scored = scratch.keep(map_arrow(numbered, _score(cache, spelling), SCORES), "scored")
@@ -366,11 +399,11 @@ def fit_words(base: DataFrame, good: DataFrame, labels: DataFrame, scratch: Scra
     ids = scratch.keep(ids, "labelled")
     # 12 bytes a labelled document, of a bounded number
     texts = base.join(F.broadcast(ids), "doc_id").select("kind", "text")
-    counted = map_arrow(texts, _word_grams, WORD_GRAMS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
-    models = [counted[counted["kind"] == k] for k in (0, 1)]
-    if not all(map(len, models)):
+    counted = map_arrow(texts, _word_grams, WORD_GRAMS).groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kinds, keys, n = (counted[c].to_numpy() for c in ("kind", "key", "n"))
+    if len(np.unique(kinds)) < 2:
         return None
-    return Words(*(SmallModel(m["key"].to_numpy(np.int64), m["n"].to_numpy(np.int64)) for m in models))
+    return Words(*(SmallModel(keys[kinds == k], n[kinds == k]) for k in (0, 1)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cache_size: int = CACHE) -> DataFrame:
@@ -398,6 +431,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, cac
     model = Model(small_join(base, ids, ["doc_id"], "left_semi", ids.count(), BROADCAST_IDS).select("text"), scratch)
     fitted = fit_words(base, good, labels, scratch)
     spelling = docs.sparkSession.sparkContext.broadcast(fitted) if fitted else None
+    del fitted
+    free_memory()
     found = perplexities(base.select("row", "text"), model, scratch, cache_size, spelling).dropDuplicates(["row"])
     named = base.select("doc_id", "lang", "row").join(good, "doc_id", "left").join(found, "row")
     named = scratch.keep(named.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "named")

@@ -440,6 +440,24 @@ def test_small_model_is_the_model():
         assert model.log_probability(quality.grams(text)) == pytest.approx(want, rel=1e-9)
 
 
+def test_spelt_words():
+    some = ["a", "中文x", "", "Ärger", "😀", prose(3, 4)]
+    keys, sizes = quality.spelt(some)
+    assert np.concatenate([quality.grams(w) for w in some]).tolist() == keys.tolist() and sizes.tolist() == [len(quality.grams(w)) for w in some]
+
+
+def test_ratios_of_words():
+    models = [quality.SmallModel(*np.unique(quality.spelt(t.split())[0], return_counts=True)) for t in (prose(1, 300), prose(2, 300))]
+    own = quality.Words(*models)
+    texts = [prose(5, 30), "", "!! ?", prose(6, 20) + " a-b_c 中文"]
+    want = []
+    for t in texts:
+        found = [quality.grams(w) for w in quality.WORD.findall(t.lower())]
+        want.append(max((models[1].log_probability(g) - models[0].log_probability(g)).sum() for g in found) if found else None)
+    assert [r is None for r in own.worst(texts)] == [w is None for w in want]
+    assert own.worst(texts)[0] == pytest.approx(want[0]) and own.worst(texts)[3] == pytest.approx(want[3])
+
+
 def test_commonest(spark):
     from lodegrain.llm.common import commonest
 

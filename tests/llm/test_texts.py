@@ -260,6 +260,37 @@ def test_templates(spark):
     assert (3, 7) not in got or got[3, 7][1] > 0
 
 
+def _leaks(spark, docs, items):
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.find_leaks(*frames).collect()}
+
+
+def test_items_of_placeholders_and_other_scripts(spark):
+    items = [
+        (1, "Bob paid $5 and Ann paid $7, Tom paid $9, Sue paid $11."), (2, "Ann 3 kg Bob 4 kg Tom 5 kg Sue 6 kg"),
+        (3, "Сколько яблок осталось у мальчика Иван если он купил 12 яблок и отдал 5 яблок своей сестре Мария вчера вечером"),
+    ]
+    docs = [(k, f"{prose(700 + k, 40)} {t} {prose(800 + k, 40)}") for k, t in items]
+    docs += [
+        (10, f"{prose(70, 40)} {items[2][1].replace('Иван', 'Пётр').replace('Мария', 'Ольга').replace('12', '30')} {prose(71, 40)}"),
+        (11, f"{prose(72, 40)} Max 7 kg Eva 8 kg Kim 9 kg Joe 2 kg {prose(73, 40)}"),
+    ]
+    assert _leaks(spark, docs, items) == {(1, 1): "copy", (2, 2): "copy", (3, 3): "copy", (10, 3): "other values"}
+
+
+def test_the_best_place_of_an_item_decides(spark):
+    item = "Bob has three red apples and gives them to his friend, then Bob buys five green pears for his mother, so Bob asks how many fruits does Bob hold at home today"
+    part = " ".join(item.replace("Bob", "Tom").split()[:18])
+    docs = [(1, f"{prose(1, 50)} {part} {prose(2, 30)} {item} {prose(3, 20)}"), (2, f"{item} {prose(4, 30)} {part}"), (3, f"{part} {prose(5, 60)}"), (4, f"{item.replace('Bob', 'Max')} {prose(6, 30)} {item}")]
+    assert _leaks(spark, docs, [(9, item)]) == {(1, 9): "copy", (2, 9): "copy", (4, 9): "copy"}
+
+
+def test_first_code_points():
+    found = ["a", "Ä", "Ж", "Ế", "中", "𐐀", "😀", "9"]
+    data, starts, _, _ = words.spans([found])
+    assert decontaminate._first_points(data, starts).tolist() == [ord(c) for c in found]
+
+
 def test_leaks_against_brute_force(spark):
     items = [(k, prose(500 + k, 40)) for k in range(12)]
     docs = [(k, " ".join([prose(k, 60), items[k % 12][1] if k % 3 == 0 else " ".join(items[k % 12][1].split()[5:12]), prose(900 + k, 60)])) for k in range(60)]

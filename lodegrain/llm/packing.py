@@ -6,6 +6,11 @@ what is left (its deficit, less than a token) to the next round. Taken over x to
 the queues up to the j-th have been served floor(x * P_j) tokens, P_j being their summed shares; so
 the state of any round follows from its number alone, every partition starts with the deficits that
 the round before it left, and no token has to move to another task.
+
+A source whose share of a window is less than a few tokens would lie in the windows as single tokens.
+Such sources are served in a second tier: a queue of the first that is filled by deficit round-robin
+itself, in rounds long enough for every source of it to have a few tokens, and so on. A small source
+thus carries its deficit over several windows and is in proportion over each round of its tier.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, small_join
+from .common import Scratch, commonest, map_arrow, small_join
 
 WINDOW = 1024
-#: A queue takes at least this share of a window; smaller sources share a queue.
-LEAST_SHARE = 4 / WINDOW
-MOST_QUEUES = 63
+#: Tokens that a source has in a round of its tier, at least, and how many times as many the largest source of a tier may have.
+LEAST, RANGE = 4, 16
+#: Sources with queues of their own; if there are more, the smallest stand in one, in the order of their files. With targets, at most TARGETS.
+MOST_SOURCES, TARGETS = 100_000, 1_000
 NONE = "\0none"
 TOKENS = "doc_id long, source string, part int, before long, doc_tokens long, ids binary"
 TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -237,7 +243,68 @@ def cut(phases: list[Phase], queue: int, first: int, length: int, window: int) -
         taken += amount
 
 
-def _pieces(phases: list[Phase], queues: dict[str, int], rest: int, wide: str, window: int):
+@dataclass
+class Tier:
+    """Queues served in rounds of window tokens; rest is the queue that the next tier fills."""
+
+    phases: list[Phase]
+    window: int
+    rest: int
+
+
+class Plan:
+    """Tiers, and for every named source its tier and queue; all other sources stand in the last tier's rest."""
+
+    def __init__(self, totals: dict[str, int], shares: dict[str, float], tail: int, window: int):
+        self.tiers: list[Tier] = []
+        self.queues: dict[str, tuple[int, int]] = {}
+        left = sorted((s for s, n in totals.items() if n), key=lambda s: (-shares[s], s))
+        # the tail is served by its tokens, as far as its share goes with the others'
+        scale = sum(totals[s] for s in left) / (sum(shares[s] for s in left) or 1)
+        tail_share = tail / scale if left else float(tail)
+        while left or tail or not self.tiers:
+            all_shares = sum(shares[s] for s in left) + tail_share
+            if self.tiers:
+                least = min((shares[s] for s in left if shares[s] * RANGE >= shares[left[0]]), default=all_shares)
+                window = 1 << max(10, int(np.ceil(np.log2(LEAST * all_shares / least))))
+            least = LEAST * all_shares / window
+            own = [s for s in left if shares[s] >= least]
+            if self.tiers and not own:
+                own = left[:1]
+            below = left[len(own) :]
+            while below and len(own) > 1 and sum(shares[s] for s in below) + tail_share < least:
+                below.insert(0, own.pop())
+            last = not below
+            amounts, weights = [totals[s] for s in own], [shares[s] for s in own]
+            rest = sum(totals[s] for s in below) + tail
+            if rest:
+                amounts.append(rest)
+                weights.append(sum(shares[s] for s in below) + tail_share)
+            for j, s in enumerate(own):
+                self.queues[s] = (len(self.tiers), j)
+            self.tiers.append(Tier(schedule(amounts, weights), window, len(own)))
+            left = below
+            if last:
+                break
+
+    def cut(self, source: str, first: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """(start, length, place in the output) of the pieces of tokens first.. of a source."""
+        tier, queue = self.queues.get(source, (len(self.tiers) - 1, self.tiers[-1].rest))
+        return self._cut(tier, queue, first, length)
+
+    def _cut(self, tier: int, queue: int, first: int, length: int) -> Iterator[tuple[int, int, int]]:
+        own = self.tiers[tier]
+        if not length:
+            return
+        for start, n, place in cut(own.phases, queue, first, length, own.window):
+            if not tier:
+                yield start, n, place
+            else:
+                for inner, m, at in self._cut(tier - 1, self.tiers[tier - 1].rest, place, n):
+                    yield start + inner, m, at
+
+
+def _pieces(plan, wide: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
@@ -248,8 +315,12 @@ def _pieces(phases: list[Phase], queues: dict[str, int], rest: int, wide: str, w
             for doc_id, source, first, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "first", "doc_tokens", "ids"))):
                 data = memoryview(np.frombuffer(ids, wide).astype("<u4").tobytes())
                 name = None if source == NONE else source
-                for start, length, place in cut(phases, queues.get(source, rest), first, n, window):
-                    rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, place // window, place % window, name))
+                for start, length, place in plan.value.cut(source, first, n):
+                    # a piece that ends one round of its tier and one that begins the next may lie in two windows
+                    while length:
+                        own = min(length, window - place % window)
+                        rows.append((doc_id, start, own, zlib.crc32(data[4 * start : 4 * (start + own)]), n, place // window, place % window, name))
+                        start, length, place = start + own, length - own, place + own
                 if len(rows) >= 20_000:
                     yield flush()
                     rows.clear()
@@ -264,11 +335,13 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
 
     targets: share of each source; without it the sources' own shares of all tokens, so that every
     window but the last has them to within a token and all queues end together. Sources with less
-    than LEAST_SHARE of the tokens, and beyond the MOST_QUEUES largest, stand in one queue. With
-    targets each source needs LEAST_SHARE; when one runs out the others share its part.
+    than LEAST tokens a window keep their proportions over the longer rounds of a further tier. With
+    targets, TARGETS of them at most and one for every source, the others share the part of a source
+    that runs out, those of its own tier first.
 
     A null or empty text gives the end id alone; a null source is a source of its own; repeated rows
-    are packed each. An empty table gives no pieces. Only the last window is padded.
+    are packed each. An empty table gives no pieces. Only the last window is padded. Texts are read
+    whole, and other columns are not read; sources that tie are served in the order of their names.
     """
     import public_tokenizers  # noqa: F401
 
@@ -279,35 +352,35 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
     tokens = scratch.keep(map_arrow(rows, _tokenise(path, end), TOKENS), "tokens")
     by_source = scratch.keep(tokens.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")), "parts")
     total = by_source.agg(F.sum("n")).first()[0] or 0
-    top = [(r["source"], r["n"]) for r in by_source.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MOST_QUEUES).collect()]
+    sums = scratch.keep(by_source.groupBy("source").agg(F.sum("n").alias("n")), "sources")
+    # at most MOST_SOURCES names
+    known = {r["source"]: r["n"] for r in commonest(sums, MOST_SOURCES).collect()}
     if targets is None:
-        named = [(s, n) for s, n in top if n >= LEAST_SHARE * total]
-        while named and 0 < total - sum(n for _, n in named) < LEAST_SHARE * total:
-            named.pop()
-        totals = [n for _, n in named]
-        if total > sum(totals):
-            totals.append(total - sum(totals))
-        shares = [float(n) for n in totals]
+        shares = {s: float(n) for s, n in known.items()}
+    else:
+        known = {s: n for s, n in known.items() if s in targets}
+        if len(targets) > TARGETS or sum(known.values()) != total or min(targets.values()) <= 0:
+            raise ValueError(f"targets need every source, {TARGETS} at most, each with a share above 0")
+        shares = {s: float(targets[s]) for s in known}
+    plan = Plan(known, shares, total - sum(known.values()), window)
+
+    # where each part's documents of a source begin in the source's queue, or in that of all sources without one
+    named = F.broadcast(sums.filter(F.col("n") >= min(known.values(), default=0)).select("source", F.lit(True).alias("named")))
+    if len(known) == sums.count():
+        queued = by_source.withColumn("queue", F.col("source"))
     else:
-        known = dict(top)
-        if set(known) - set(targets) or sum(known.values()) != total or min(targets.values()) < LEAST_SHARE * sum(targets.values()):
-            raise ValueError(f"targets need every source, {MOST_QUEUES} at most, each with a share of {LEAST_SHARE:g} or more")
-        named = [(s, n) for s, n in top if n]
-        totals, shares = [n for _, n in named], [float(targets[s]) for s, _ in named]
-    queues = {s: j for j, (s, _) in enumerate(named)}
-    rest = len(queues)
-    phases = schedule(totals, shares)
-
-    # where each part's documents of a source begin in the queue
-    queue = F.when(F.col("source").isin(list(queues)), F.col("source")).otherwise(F.lit(NONE + "rest")) if queues else F.lit(NONE + "rest")
-    order = Window.partitionBy(queue).orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_source.select("part", "source", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("queue_at"))
+        queued = by_source.join(named, "source", "left").withColumn("queue", F.when(F.col("named"), F.col("source")).otherwise(F.lit(NONE + "rest"))).drop("named")
+    by_part = queued.groupBy("queue", "part").agg(F.sum("n").alias("n"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts_at = by_part.select("queue", "part", F.coalesce(F.sum("n").over(before("queue", "part")), F.lit(0)).alias("part_at"))
+    inside = queued.withColumn("inner_at", F.coalesce(F.sum("n").over(before("queue", "part", "source")), F.lit(0)))
+    starts = inside.join(parts_at, ["queue", "part"]).select("part", "source", (F.col("part_at") + F.col("inner_at")).alias("queue_at"))
     found = small_join(tokens, starts, ["part", "source"], "left", by_source.count())
     located = found.select("doc_id", "source", (F.col("queue_at") + F.col("before")).alias("first"), "doc_tokens", "ids")
     from tokenizers import Tokenizer
 
     wide = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
-    return map_arrow(located, _pieces(phases, queues, rest, wide, window), PIECES)
+    return map_arrow(located, _pieces(spark.sparkContext.broadcast(plan), wide, window), PIECES)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,6 +368,49 @@ def test_packing_keeps_every_id_and_the_mixture(spark, tokenizer):
             assert abs(held[s, source] - 1024 * t / n) <= 2
 
 
+def test_many_small_sources_keep_their_proportions():
+    for totals in ({f"s{k}": 400 for k in range(600)}, {"hot": 10**5} | {f"s{k}": 2 * (1 + k) for k in range(400)}, {f"s{k}": 4 ** (k % 9) for k in range(30)}):
+        for tail in (0, 70):
+            plan = packing.Plan(totals, {s: float(n) for s, n in totals.items()}, tail, 1024)
+            pieces = {s: list(plan.cut(s, 0, t)) for s, t in [*totals.items(), ("none of them", tail)]}
+            got = sorted((place, n) for own in pieces.values() for _, n, place in own)
+            whole = sum(totals.values()) + tail
+            assert sum(n for _, n in got) == whole
+            assert got[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+            # in every quarter of the output a source has its share, to within what it has in a round of its tier at either end
+            for s, t in totals.items():
+                tier = plan.tiers[plan.queues[s][0]]
+                own = t * tier.window / sum(p.length for p in tier.phases)
+                for part in range(4):
+                    lo, hi = part * whole // 4, (part + 1) * whole // 4
+                    held = sum(max(0, min(place + n, hi) - max(place, lo)) for _, n, place in pieces[s])
+                    assert abs(held - t / 4) <= 2 * min(own, 2 * packing.LEAST * packing.RANGE if plan.queues[s][0] else own) + 4
+    shares = {f"s{k}": 1.0 + k % 7 for k in range(300)}
+    plan = packing.Plan({s: 1000 for s in shares}, shares, 0, 1024)
+    got = sorted((place, n) for s in shares for _, n, place in plan.cut(s, 0, 1000))
+    assert sum(n for _, n in got) == 300_000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
+def test_two_hundred_sources_within_a_token(spark, tokenizer):
+    docs = [(k, prose(k, 60), f"s{k % 200}") for k in range(1000)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)).collect()
+    check_pieces(rows, [(d, t) for d, t, _ in docs], tokenizer)
+    total, held = Counter(), Counter()
+    for r in rows:
+        total[r["source"]] += r["length"]
+        held[r["sequence_id"], r["source"]] += r["length"]
+    n = sum(total.values())
+    for s in range(max(r["sequence_id"] for r in rows)):
+        assert all(abs(held[s, source] - 1024 * t / n) <= 2 for source, t in total.items() if 1024 * t / n >= 4)
+
+
+def test_packing_with_sources_beyond_the_named(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_SOURCES", 3)
+    docs = [(k, prose(k, 20 + 5 * (k % 9)), f"s{k % 9}") for k in range(90)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)).collect()
+    check_pieces(rows, [(d, t) for d, t, _ in docs], tokenizer)
+
+
 def test_packing_to_targets(spark, tokenizer):
     docs = [(k, prose(k, 200), "ab"[k % 2]) for k in range(40)]
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), {"a": 3.0, "b": 1.0}, window=256).collect()

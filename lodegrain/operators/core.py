@@ -582,17 +582,18 @@ class Discriminate(Decoder):
 
 
 class Lazy(Decoder):
-    """Recursion, unrolled as far as depth; deeper values are kept as JSON text."""
+    """Recursion, unrolled as far as depth; a value below that is an issue, so that nothing passes unchecked."""
 
     def __init__(self, supplier: Callable[[], Decoder], depth: int = 4):
         self.supplier, self.depth = supplier, depth
 
     def compile(self, ctx: Context, src: Source, path: Path) -> Out:
         if ctx.depth >= self.depth:
+            required = issue(path, "required", "is required")
             if src.kind == "absent":
-                return Out(F.lit(None).cast("string"), [("one", issue(path, "required", "is required"))], src.level)
-            text = F.to_json(src.column) if src.kind == "variant" or isinstance(src.dtype, (T.StructType, T.ArrayType, T.MapType)) else src.column.cast("string")
-            return Out(text, [("one", F.when(src.is_null, issue(path, "required", "is required")).otherwise(none()))], src.level)
+                return Out(F.lit(None).cast("string"), [("one", required)], src.level)
+            deep = issue(path, "nested_too_deeply", f"is nested more than {self.depth} levels deep", {"max": self.depth})
+            return Out(F.lit(None).cast("string"), [("one", F.when(src.is_null, required).otherwise(deep))], src.level)
         ctx.depth += 1
         try:
             return self.supplier().compile(ctx, src, path)

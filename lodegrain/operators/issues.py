@@ -65,23 +65,25 @@ def exploded(frame: DataFrame, keys: list[str], issues: str = "issues") -> DataF
     return rows.select(*keys, "pos", pointer(F.col("i.path")).alias("pointer"), "i.path", "i.code", "i.message", "i.meta", "i.custom_message")
 
 
-def _grouped(frame: DataFrame, keys: list[str], issues: str, what: Column, name: str) -> DataFrame:
-    rows = frame.select(*keys, F.posexplode(issues).alias("pos", "i")).withColumn("pointer", pointer(F.col("i.path")))
-    held = rows.groupBy(*keys, "pointer").agg(F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", what.alias("x")))).alias("xs"))
-    return held.select(*keys, "pointer", "first", F.transform("xs", lambda x: x["x"]).alias(name))
+def _grouped(frame: DataFrame, keys: list[str], issues: str, what, name: str) -> DataFrame:
+    held = F.col(issues)
+    pointers = F.transform(held, lambda i: pointer(i["path"]))
+    own = lambda p: F.transform(F.filter(held, lambda i: pointer(i["path"]) == p), what)
+    one = lambda p: F.struct(p.alias("pointer"), (F.array_position(pointers, p) - 1).cast("int").alias("first"), own(p).alias(name))
+    return frame.select(*keys, F.explode(F.transform(F.array_distinct(pointers), one)).alias("g")).select(*keys, "g.pointer", "g.first", f"g.{name}")
 
 
 def flatten(frame: DataFrame, keys: list[str], issues: str = "issues") -> DataFrame:
     """Messages of each row by pointer, in order: keys, pointer, first (the place of the first), messages.
 
-    Issues are grouped within their row, so no group is larger than a row's issues.
+    Issues are grouped within their row, without a shuffle, so rows of equal keys stay apart.
     """
-    return _grouped(frame, keys, issues, F.col("i.message"), "messages")
+    return _grouped(frame, keys, issues, lambda i: i["message"], "messages")
 
 
 def group_by_path(frame: DataFrame, keys: list[str], issues: str = "issues") -> DataFrame:
     """Like flatten, with the whole issues."""
-    return _grouped(frame, keys, issues, F.col("i"), "issues")
+    return _grouped(frame, keys, issues, lambda i: i, "issues")
 
 
 def summary(frame: DataFrame, issues: str = "issues") -> DataFrame:
@@ -125,14 +127,15 @@ def format_tree(issues: Column) -> Column:
     """The error tree of a row as JSON text. For reports: its shape is not one of columns."""
     build = _tree_builder()
 
-    def trees(paths, texts):
-        import json
+    import pandas
 
-        import pandas
+    def trees(paths: pandas.Series, texts: pandas.Series) -> pandas.Series:
+        import json
 
         return pandas.Series([None if p is None else json.dumps(build(p, t), ensure_ascii=False) for p, t in zip(paths, texts)])
 
-    udf = F.pandas_udf(trees, "string", F.PandasUDFType.SCALAR)
+    trees.__annotations__ = dict.fromkeys(("paths", "texts", "return"), pandas.Series)
+    udf = F.pandas_udf(trees, "string")
     return udf(F.transform(issues, lambda i: i["path"]), F.transform(issues, lambda i: i["message"]))
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from .core import NUMBERS, STRINGS, Chain, Decoder, Scalar, _variant, exact, narrowed
 
-DECIMAL = "decimal(38,18)"
+PLACES = 18
+DECIMAL = f"decimal(38,{PLACES})"
 
 
 def _formatted(n) -> str:
@@ -123,7 +124,7 @@ class StringDecoder(Chain):
         return self._coerce(lambda v: F.when(X.full_match(v, r"[+-]?\d+"), v.try_cast("bigint")), "long", message, IntDecoder)
 
     def to_decimal(self, message: str | None = None):
-        """A number with its scale as written; the value is a decimal of 18 places."""
+        """A number with its scale as written; the value is a decimal of 18 places, and a number that has more of them, or more than 20 digits before the point, is a mismatch."""
         return self._coerce(lambda v: F.when(X.full_match(v, r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"), _scaled(v)), "decimal", message, DecimalDecoder)
 
     def to_bool(self, message: str | None = None):
@@ -131,9 +132,12 @@ class StringDecoder(Chain):
 
 
 def _scaled(text: Column) -> Column:
-    """struct(number, scale): Spark's scale belongs to the column, this one to the value."""
-    number = text.try_cast(DECIMAL)
-    return F.when(number.isNotNull(), F.struct(number.alias("number"), X.decimal_scale(text).alias("scale")))
+    """struct(number, scale): Spark's scale belongs to the column, this one to the value. Null where the number would be rounded."""
+    number, scale = text.try_cast(DECIMAL), X.decimal_scale(text)
+    digits = F.translate(F.regexp_replace(text, r"[eE].*\z", ""), ".+-", "")
+    needed = scale - F.length(F.regexp_extract(digits, r"(0*)\z", 1))
+    exact = (scale <= PLACES) | (F.length(F.translate(digits, "0", "")) == 0) | (needed <= PLACES)
+    return F.when(number.isNotNull() & exact, F.struct(number.alias("number"), X.decimal_scale(text).alias("scale")))
 
 
 class NumberDecoder(Chain):
@@ -195,13 +199,27 @@ class FloatDecoder(NumberDecoder):
         return self._range(lambda v: (v < 0) | _minus_zero(v), "must be non-negative", {"min": 0.0})
 
     def min(self, n, message: str | None = None):
-        zero = n == 0 and not str(float(n)).startswith("-")
-        return self._range(lambda v: (v < F.lit(n)) | _minus_zero(v) if zero else v < F.lit(n), f"must be at least {_formatted(n)}", {"min": n}, message)
+        return self._range(lambda v: _below(v, n), f"must be at least {_formatted(n)}", {"min": n}, message)
+
+    def max(self, n, message: str | None = None):
+        return self._range(lambda v: _above(v, n), f"must be at most {_formatted(n)}", {"max": n}, message)
+
+    def range(self, low, high, message: str | None = None):
+        return self._range(lambda v: _below(v, low) | _above(v, high), f"must be between {_formatted(low)} and {_formatted(high)}", {"min": low, "max": high}, message)
 
     def negative(self):
         return self._range(lambda v: (v > 0) | (v == 0) & ~_minus_zero(v), "must be negative", {"max": 0.0})
 
 
+def _below(v: Column, n: float) -> Column:
+    """v < n in the order in which -0.0 is below 0.0."""
+    return (v < F.lit(n)) | _minus_zero(v) if n == 0 and not str(float(n)).startswith("-") else v < F.lit(n)
+
+
+def _above(v: Column, n: float) -> Column:
+    return (v > F.lit(n)) | (v == 0) & ~_minus_zero(v) if n == 0 and str(float(n)).startswith("-") else v > F.lit(n)
+
+
 def _minus_zero(v: Column) -> Column:
     return (v == 0) & v.cast("string").startswith("-")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from collections.abc import Callable
 from datetime import datetime
 
@@ -492,10 +494,12 @@ def _(spark, d):
     return I.summary(decode(rows, decoder.tuple(), "record").frame)
 
 
-@_query("conditional", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN round(o_totalprice / 2, 2) ELSE o_totalprice END AS due FROM orders WHERE o_orderstatus <> 'P'")
+@_query("conditional", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN CAST(round(CAST(o_totalprice AS DECIMAL(18, 2)) * CAST(0.5 AS DECIMAL(2, 1)), 2) AS DOUBLE) ELSE o_totalprice END AS due FROM orders WHERE o_orderstatus <> 'P'")
 def _(spark, d):
     def rule(key, status, price):
-        return check(F.struct(key.alias("o_orderkey"), F.when(status == "O", F.round(price / 2, 2)).otherwise(price).alias("due")), Rule(status == "P", "pending", "not decided yet", at=("o_orderstatus",)))
+        # cents are halved as decimals and half a cent is rounded up, as a double next to half a cent may lie on either side of it
+        half = F.round(price.cast("decimal(18,2)") * F.lit(Decimal("0.5")), 2).cast("double")
+        return check(F.struct(key.alias("o_orderkey"), F.when(status == "O", half).otherwise(price).alias("due")), Rule(status == "P", "pending", "not decided yet", at=("o_orderstatus",)))
 
     return decode(_table(spark, d, "orders"), combine(field("o_orderkey", long_()), field("o_orderstatus", string()), field("o_totalprice", double_())).flat_map(rule)).valid()
 
@@ -597,7 +601,12 @@ def _(spark, d):
     return rows.select("s_suppkey", first(I.resolve(F.col("issues"), locale="ja_JP")).alias("ja"), first(I.resolve(I.resolve(F.col("issues")), messages.BUNDLES["ja"])).alias("plain"))
 
 
-@_query("issues_tree")
+@_query(
+    "issues_tree",
+    f"""WITH g AS (SELECT s_suppkey, pointer, min(pos) AS f, string_agg('"' || message || '"', ', ' ORDER BY pos) AS m FROM ({_ISSUES}) GROUP BY 1, 2),
+t AS (SELECT s_suppkey, string_agg('"' || substr(pointer, 2) || '": {{"_errors": [' || m || ']}}', ', ' ORDER BY f) AS t FROM g GROUP BY 1)
+SELECT supplier.s_suppkey, '{{' || coalesce(t, '') || '}}' AS tree FROM supplier LEFT JOIN t USING (s_suppkey)""",
+)
 def _(spark, d):
     return _supplier_issues(spark, d).select("s_suppkey", I.format_tree(F.col("issues")).alias("tree"))
 
@@ -624,7 +633,7 @@ def _(spark, d):
 
 @_query("membership_join", "SELECT r_name AS group_name, n_name AS name, n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 ORDER BY id")
 def _(spark, d):
-    rows = _table(spark, d, "nation").join(F.broadcast(_table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_regionkey = 1")
+    rows = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_regionkey = 1")
     return decode(rows, combine(field("r_name", string()), field("n_name", string().trim().non_blank().max_length(100)), field("n_nationkey", int_())).named("group_name", "name", "id"), "record").valid().orderBy("id")
 
 

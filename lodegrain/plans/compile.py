@@ -168,7 +168,10 @@ def child(source: Source, name: str) -> tuple[Source, Column | bool]:
         c, t = source.fields[name]
         return _typed(c, t, keep), True
     if source.kind == "variant":
-        c = F.try_variant_get(source.column, f"$['{name}']", "variant")
+        if "'" in name and '"' in name:
+            raise ValueError(f"a JSON field name may hold one kind of quote: {name}")
+        quote = '"' if "'" in name else "'"
+        c = F.try_variant_get(source.column, f"$[{quote}{name}{quote}]", "variant")
         return Source("variant", c, None, **keep), c.isNotNull()
     if source.kind == "typed" and isinstance(source.dtype, T.StructType):
         if name not in source.dtype.names:

@@ -1,17 +1,22 @@
-"""Language-model scores of documents by a log-bilinear neural model.
+"""Language-model scores of documents by a log-bilinear neural model of two levels.
 
 The words of the vocabulary stand in classes: the commonest words have one each, and the others share
-classes by how they end. The model predicts the class of a token from the classes of the two tokens
-before it: each has a vector, a matrix for its place maps it, and the sum is multiplied with every
-class's output vector. It is trained in numpy with noise-contrastive estimation, each task starting
-from the same weights and passing over its part of the training documents, and the weights averaged
-by tokens. As the score of a class is a sum of one term for each place, batched matrix products give
-all terms and, for every pair of classes before, the normaliser. Within its class a word has its
-smoothed share of the class's training tokens, and one type of each class stands for all unknown
-words; so the probabilities of all tokens sum to one.
-
-Counts of the commonest words are sent to the tasks, in a table of bounded size; those of all other
-words are joined by word.
+classes by how they end. The first level predicts the class of a token from the classes of the two
+tokens before it: each has a vector, a matrix for its place maps it, and the sum is multiplied with
+every class's output vector. The second level predicts the word within its class from the class
+before: each of the commonest words (the head) has a vector and a bias of its own. Both are trained in numpy
+with noise-contrastive estimation. As a score is a sum of one term for each place, batched matrix
+products give all terms and, for every pair of classes, the normalisers. Words of a class beyond the
+head have their smoothed share of the class's training tokens, and one type of each class stands for
+all unknown words; so the probabilities of all tokens sum to one.
+
+Training documents are dealt by a hash to shards of about SHARD tokens, and the shards to rounds. In a
+round every shard starts from the same weights, passes over its documents in the order of their
+hashes, and the results are averaged by tokens in the order of the shards. So the model depends on the
+documents alone, not on how they are partitioned.
+
+Counts of the head are sent to the tasks, in a table of bounded size; those of all other words are
+joined by word.
 """
 
 from __future__ import annotations
@@ -26,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from . import words as W
+from .common import Scratch, commonest, free_memory, map_arrow
 
 END = ""
-HEAD, HEAD_BYTES = 60_000, 48
-SINGLE, ENDINGS, WIDTH = 384, 128, 16
+#: Words with vectors of their own, at most, and the bytes of the longest.
+HEAD, HEAD_BYTES = 60_000, 256
+SINGLE, ENDINGS, WIDTH, INNER_WIDTH = 384, 128, 16, 8
 CLASSES = 1 + SINGLE + ENDINGS
-NOISE, BATCH, RATE, FIRST = 48, 1024, 0.1, 1e-6
+NOISE, INNER_NOISE, BATCH, RATE, FIRST = 48, 8, 2048, 0.1, 1e-6
+SHARD, ROUNDS = 4_000_000, 4
+REMEMBERED = 300_000
 FOLDS, HELD_OUT = 5, 1
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -40,7 +49,10 @@ COUNTS = "word string, n long"
 COUNTS_ARROW = pa.schema([("word", pa.string()), ("n", pa.int64())])
 SCORED = "row long, n_tokens long, n_known long, known double, neural double, words array<string>, times array<int>"
 SCORED_ARROW = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("neural", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
-WEIGHTS = "tokens long, weights binary"
+WEIGHTS = "shard long, tokens long, weights binary"
+WEIGHTS_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.int64()), ("weights", pa.binary())])
+CODED = "shard long, hash long, codes binary"
+CODED_ARROW = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("codes", pa.binary())])
 CLASS_SUMS = "class int, n long, types long"
 
 def tokens(text: str) -> list[bytes]:
@@ -84,27 +96,34 @@ def _counts(most: int = 1_000_000):
 
 @dataclass
 class Weights:
-    """r: input vectors; c: a matrix for each place before; q: output vectors; b: biases, log probabilities at first."""
+    """r: input vectors; c: a matrix for each place before; q: output vectors; b: biases, log probabilities at first.
+
+    Within classes, inner_r: input vectors of the class before; inner_q and inner_b: vectors and biases of head words.
+    """
 
     r: np.ndarray
     c: np.ndarray
     q: np.ndarray
     b: np.ndarray
+    inner_r: np.ndarray
+    inner_q: np.ndarray
+    inner_b: np.ndarray
+
+    @staticmethod
+    def shapes(head: int) -> tuple:
+        return (CLASSES, WIDTH), (2, WIDTH, WIDTH), (CLASSES, WIDTH), (CLASSES,), (CLASSES, INNER_WIDTH), (head, INNER_WIDTH), (head,)
 
     @classmethod
-    def start(cls, unigram: np.ndarray, seed: int = 7) -> "Weights":
+    def start(cls, unigram: np.ndarray, inner: np.ndarray | None = None, seed: int = 7) -> "Weights":
+        """inner: log probabilities of the head words within their classes."""
         rng = np.random.default_rng(seed)
+        inner = np.zeros(0) if inner is None else inner
         make = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        return cls(make(CLASSES, WIDTH), np.stack([np.eye(WIDTH, dtype=np.float32)] * 2), make(CLASSES, WIDTH), np.log(unigram).astype(np.float32))
+        eye = np.stack([np.eye(WIDTH, dtype=np.float32)] * 2)
+        return cls(make(CLASSES, WIDTH), eye, make(CLASSES, WIDTH), np.log(unigram).astype(np.float32), make(CLASSES, INNER_WIDTH), make(len(inner), INNER_WIDTH), inner.astype(np.float32))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)])
-
-    @classmethod
-    def shaped(cls, flat: np.ndarray) -> "Weights":
-        shapes = ((CLASSES, WIDTH), (2, WIDTH, WIDTH), (CLASSES, WIDTH), (CLASSES,))
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-        return cls(*(x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, cuts), shapes)))
+    def all(self) -> tuple:
+        return self.r, self.c, self.q, self.b, self.inner_r, self.inner_q, self.inner_b
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms [class before, class] of the two places, biases included in the first, and log normalisers [before, before that]."""
@@ -117,28 +136,67 @@ class Weights:
             z[k] = np.log(np.exp(s - top[:, None]).sum(1)) + top
         return first, second, z
 
+    def inner_table(self, classes: np.ndarray) -> np.ndarray:
+        """Log normalisers [class, class before] of the head words of each class; classes: that of each head word."""
+        z = np.zeros((CLASSES, CLASSES), np.float32)
+        for k in np.unique(classes).tolist():
+            own = np.flatnonzero(classes == k)
+            s = self.inner_r @ self.inner_q[own].T + self.inner_b[own]
+            top = s.max(1)
+            z[k] = np.log(np.exp(s - top[:, None]).sum(1)) + top
+        return z
+
+
+class State:
+    """Weights and the sums of squared gradients, as one array that can be averaged."""
+
+    def __init__(self, weights: Weights, sums: list[np.ndarray] | None = None):
+        self.weights = weights
+        # a sum for each row of word vectors, one for each number elsewhere
+        self.sums = sums or [np.full(x.shape[:1] if k == 5 else x.shape, FIRST, np.float32) for k, x in enumerate(weights.all())]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (*self.weights.all(), *self.sums)])
+
+    @classmethod
+    def shaped(cls, flat: np.ndarray, head: int) -> "State":
+        shapes = Weights.shapes(head)
+        shapes = (*shapes, *(s[:1] if k == 5 else s for k, s in enumerate(shapes)))
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        parts = [x.reshape(s).astype(np.float32) for x, s in zip(np.split(flat, cuts), shapes)]
+        return cls(Weights(*parts[:7]), parts[7:])
+
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps over batches of tokens."""
 
-    def __init__(self, weights: Weights, unigram: np.ndarray, seed: int):
-        self.w, self.noise_p = weights, unigram
+    def __init__(self, state: State, unigram: np.ndarray, classes: np.ndarray, shares: np.ndarray, seed: int):
+        """classes and shares: class of each head word, and its probability within it."""
+        self.w, self.sums, self.noise_p = state.weights, state.sums, unigram
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.sums = [np.full(x.shape, FIRST, np.float32) for x in (weights.r, weights.c, weights.q, weights.b)]
         self.rng = np.random.default_rng(seed)
         self.cumulative = np.cumsum(unigram)
+        self.order = np.argsort(classes, kind="stable")
+        self.inner_sums = np.concatenate(([0.0], np.cumsum(shares[self.order])))
+        self.firsts = np.searchsorted(classes[self.order], np.arange(CLASSES + 1))
+        self.log_inner = np.log(INNER_NOISE * np.maximum(shares, 1e-12)).astype(np.float32)
 
     def _step(self, k: int, x: np.ndarray, gradient: np.ndarray) -> None:
         self.sums[k] += gradient * gradient
         x += RATE * gradient / np.sqrt(self.sums[k])
 
     @staticmethod
-    def _add(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    def _sparse(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at, kind="stable")
         own = at[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        return own[starts], np.add.reduceat(rows[order], starts)
+
+    @classmethod
+    def _add(cls, at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, *rows.shape[1:]), np.float32)
-        out[own[starts]] = np.add.reduceat(rows[order], starts)
+        own, sums = cls._sparse(at, rows)
+        out[own] = sums
         return out
 
     def batch(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
@@ -161,19 +219,68 @@ class Trainer:
         for k, (x, g) in enumerate(((w.r, gr), (w.c, gc), (w.q, gq), (w.b, gb * scale))):
             self._step(k, x, g)
 
+    def inner_batch(self, word: np.ndarray, own: np.ndarray, one: np.ndarray) -> None:
+        """word: head words of classes that have several; own: their classes, sorted; one: the classes before."""
+        if not len(word):
+            return
+        w = self.w
+        present, at = np.unique(own, return_inverse=True)
+        lo, hi = self.inner_sums[self.firsts[present]], self.inner_sums[self.firsts[present + 1]]
+        drawn = lo[:, None] + self.rng.random((len(present), INNER_NOISE)) * (hi - lo)[:, None]
+        place = np.searchsorted(self.inner_sums, drawn, "right") - 1
+        noise = self.order[np.clip(place, self.firsts[present][:, None], self.firsts[present + 1][:, None] - 1)]
+        v, q = w.inner_r[one], w.inner_q[word]
+        sure = (v * q).sum(1) + w.inner_b[word] - self.log_inner[word]
+        nq = w.inner_q[noise]
+        false = np.matmul(nq[at], v[:, :, None])[:, :, 0] + (w.inner_b[noise] - self.log_inner[noise])[at]
+        up = 1 / (1 + np.exp(np.clip(sure, -30, 30)))
+        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        scale = np.float32(1 / len(word))
+        gv = (up[:, None] * q + np.matmul(down[:, None, :], nq[at])[:, 0]) * scale
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        gn = np.add.reduceat(down[:, :, None] * v[:, None, :], starts) * scale
+        gnb = np.add.reduceat(down, starts) * scale
+        rows = np.concatenate((np.concatenate((up[:, None] * v * scale, (up * scale)[:, None]), 1), np.concatenate((gn, gnb[:, :, None]), 2).reshape(-1, INNER_WIDTH + 1)))
+        touched, sums = self._sparse(np.concatenate((word, noise.ravel())), rows)
+        g, gb = sums[:, :-1], sums[:, -1]
+        self.sums[5][touched] += (g * g).mean(1)
+        w.inner_q[touched] += RATE * g / np.sqrt(self.sums[5][touched])[:, None]
+        self.sums[6][touched] += gb * gb
+        w.inner_b[touched] += RATE * gb / np.sqrt(self.sums[6][touched])
+        self._step(4, w.inner_r, self._add(one, gv, CLASSES))
+
 
 class Vocabulary:
-    """Classes and training counts of the head words, in UTF-8; other words have an ending's class."""
+    """Codes of words, in UTF-8: the number of a head word, or the head's size and the class of another word's ending."""
 
     def __init__(self, head: list[tuple[str, int]]):
-        self.count = {w.encode(): n for w, n in head}
-        self.single = {w: 1 + k for k, w in enumerate([w for w in self.count if w][:SINGLE])}
-        self.single[b""] = 0
-        self.classes = {w: self.single[w] if w in self.single else ending_class(w) for w in self.count}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.classes
-        return np.array([known[w] if w in known else ending_class(w) for w in words], np.int32)
+        """head: words with their training counts, the commonest first."""
+        self.code = {w.encode(): k for k, (w, _) in enumerate(head)}
+        self.count = np.array([n for _, n in head], np.float64)
+        single = {w: 1 + k for k, w in enumerate([w for w in self.code if w][:SINGLE])}
+        single[b""] = 0
+        own = [single[w] if w in single else ending_class(w) for w in self.code]
+        #: The class of every code, and whether it is a head word whose class holds others too.
+        self.classes = np.array([*own, *range(CLASSES)], np.int64)
+        self.shared = np.zeros(len(self.classes), bool)
+        self.shared[: len(head)] = np.array(own, np.int64) > SINGLE
+        self.endings: dict[bytes, int] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "endings": {}}
+
+    def __len__(self) -> int:
+        return len(self.count)
+
+    def _ending(self, word: bytes) -> int:
+        if len(self.endings) > REMEMBERED:
+            self.endings.clear()
+        code = self.endings[word] = len(self.count) + ending_class(word)
+        return code
+
+    def codes(self, words: list[bytes]) -> list[int]:
+        get, endings, ending = self.code.get, self.endings.get, self._ending
+        return [k if (k := get(w)) is not None else e if (e := endings(w)) is not None else ending(w) for w in words]
 
 
 def _class_sums(vocabulary):
@@ -181,7 +288,7 @@ def _class_sums(vocabulary):
         n, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         v = vocabulary.value
         for batch in batches:
-            at = v.ids(batch.column("word").cast(pa.binary()).to_pylist())
+            at = v.classes[v.codes(batch.column("word").cast(pa.binary()).to_pylist())]
             np.add.at(n, at, batch.column("n").to_numpy(zero_copy_only=False))
             np.add.at(types, at, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n), pa.array(types)], names=["class", "n", "types"])
@@ -200,92 +307,128 @@ def _contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return target, one, two
 
 
-def _train(vocabulary, start: np.ndarray, unigram: np.ndarray):
+def _encode(vocabulary):
+    """Rows (shard, hash, text) to codes of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        for batch in (b for whole in batches for b in W.slices(whole)):
+            codes = [np.array(v.codes(tokens(t)), np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("hash"), pa.array(codes, pa.binary())], schema=CODED_ARROW)
+
+    return run
+
+
+def _train(vocabulary, start, unigram: np.ndarray, shares: np.ndarray):
+    """Rows of CODED, sorted by (shard, hash), to one row of trained state for each shard; start: the broadcast state."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen, held, size = None, 0, [], 0
         v = vocabulary.value
+        n = len(v)
+        shard, trainer, state, seen, held, size = None, None, None, 0, [], 0
 
         def learn() -> None:
             nonlocal seen
-            target, one, two = _contexts(held)
+            code, (target, one, two) = np.concatenate(held), _contexts([v.classes[x] for x in held])
             order = trainer.rng.permutation(len(target))
             for at in range(0, len(order), BATCH):
                 k = order[at : at + BATCH]
                 trainer.batch(target[k], one[k], two[k])
+                k = k[v.shared[code[k]]]
+                k = k[np.argsort(target[k], kind="stable")]
+                trainer.inner_batch(code[k], target[k], one[k])
             seen += len(target)
 
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([seen]), pa.array([state.flat().astype(np.float32).tobytes()], pa.binary())], schema=WEIGHTS_ARROW)
+
         for batch in batches:
-            for text in batch.column("text"):
-                if trainer is None:
-                    trainer = Trainer(Weights.shaped(start), unigram, 11)
-                held.append(v.ids(tokens(text.as_py())))
+            for own, codes in zip(batch.column("shard").to_pylist(), batch.column("codes")):
+                if own != shard:
+                    if shard is not None:
+                        if held:
+                            learn()
+                        yield done()
+                    shard, seen, held, size = own, 0, [], 0
+                    state = State.shaped(start.value, n)
+                    trainer = Trainer(state, unigram, v.classes[:n], shares, 11 + own)
+                held.append(np.frombuffer(codes.as_py(), np.int32))
                 size += len(held[-1])
                 if size >= 1 << 18:
                     learn()
                     held, size = [], 0
-        if held:
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(trainer.w.flat().astype(np.float64) * seen).tobytes()], pa.binary())], names=["tokens", "weights"])
+        if shard is not None:
+            if held:
+                learn()
+            yield done()
 
     return run
 
 
-def _sum_weights(level: int):
-    """Sum the weights of a task's rows, so that a tree of such sums is as deep as the rows need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
-        for batch in batches:
-            for k, data in zip(batch.column("tokens").to_pylist(), batch.column("weights")):
-                x = np.frombuffer(data.as_py())
-                n, total = n + k, x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"])
-
-    return run
-
-
-def average(rows: DataFrame, scratch: Scratch, fan: int = 32) -> np.ndarray | None:
-    """Weights averaged by tokens, summed in rounds of fan rows to a task."""
-    rows = scratch.keep(rows, "weights-0", "none")
-    n, level = rows.count(), 0
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of WEIGHTS with their group, sorted by (group, shard), to one row a group: states averaged by tokens."""
+    group, n, total = None, 0, None
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([group]), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], schema=WEIGHTS_ARROW)
+    for batch in batches:
+        for own, k, data in zip(batch.column("group").to_pylist(), batch.column("tokens").to_pylist(), batch.column("weights")):
+            if own != group:
+                if group is not None:
+                    yield done()
+                group, n, total = own, 0, None
+            x = np.frombuffer(data.as_py(), np.float32).astype(np.float64) * k
+            n, total = n + k, x if total is None else total + x
+    if group is not None:
+        yield done()
+
+
+def average(rows: DataFrame, scratch: Scratch, name: str, fan: int = 32) -> np.ndarray | None:
+    """States averaged by tokens, in rounds of fan neighbouring shards to a row, so in the same order however rows are dealt."""
+    rows, level = scratch.keep(rows, f"{name}-0", "none"), 0
+    n = rows.count()
     while n > 1:
         level += 1
-        rows = scratch.keep(map_arrow(rows.repartition(max(1, -(-n // fan))), _sum_weights(level), WEIGHTS), f"weights-{level}", "none")
+        grouped = rows.withColumn("group", F.floor(F.col("shard") / fan).cast("long"))
+        dealt = grouped.repartition(max(1, -(-n // fan)), "group").sortWithinPartitions("group", "shard").select("group", "tokens", "weights")
+        rows = scratch.keep(map_arrow(dealt, _average, WEIGHTS), f"{name}-{level}", "none")
         n = rows.count()
     row = rows.first()
-    return np.frombuffer(bytes(row["weights"])) / row["tokens"] if row else None
+    out = np.frombuffer(bytes(row["weights"]), np.float32) if row else None
+    for k in range(level + 1):
+        scratch.drop(f"{name}-{k}")
+    return out
 
 
-def _score(vocabulary, tables, log_base: dict | None = None):
+def _score(vocabulary, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        first, second, z, base, inner = tables.value
+        n = len(v)
+        first, second, z, inner_r, inner_q, inner_b, inner_z, base, inner = tables.value
         for batch in batches:
             rows, texts = batch.column("row").to_pylist(), batch.column("text")
-            for at in range(0, len(rows), 500):
-                words = [tokens(t.as_py()) for t in texts.slice(at, 500)]
-                target, one, two = _contexts([v.ids(w) for w in words])
-                lp = (first[one, target] + second[two, target] - z[one, two]) / np.log(10)
-                ends = np.cumsum([len(w) for w in words])
-                neural = np.add.reduceat(lp.astype(np.float64), ends - [len(w) for w in words])
-                out = []
-                for row, w, own in zip(rows[at : at + 500], words, neural):
-                    counts = Counter(w)
-                    known = b = i = 0
-                    rare, times = [], []
-                    for word, n in counts.items():
-                        x = base.get(word)
-                        if x is None:
-                            rare.append(word)
-                            times.append(n)
-                        else:
-                            known += n
-                            b += n * x
-                            i += n * inner[word]
-                    out.append((row, len(w), known, b, float(own) + i, rare, times))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SCORED_ARROW)], schema=SCORED_ARROW)
+            for at in range(0, len(rows), 250):
+                split = [tokens(t.as_py()) for t in texts.slice(at, 250)]
+                coded = [np.array(v.codes(w), np.int32) for w in split]
+                code, (target, one, two) = np.concatenate(coded), _contexts([v.classes[x] for x in coded])
+                lp = (first[one, target] + second[two, target] - z[one, two]).astype(np.float64)
+                k = np.flatnonzero(v.shared[code])
+                lp[k] += (inner_q[code[k]] * inner_r[one[k]]).sum(1) + inner_b[code[k]] - inner_z[target[k], one[k]]
+                lp = lp / np.log(10)
+                known = code < n
+                lp[known] += inner[code[known]]
+                log_base = np.where(known, base[np.where(known, code, 0)], 0.0) if n else np.zeros(len(code))
+                sizes = np.array([len(w) for w in split])
+                starts = np.cumsum(sizes) - sizes
+                neural, based, seen = (np.add.reduceat(x, starts) for x in (lp, log_base, known.astype(np.int64)))
+                rest = np.flatnonzero(~known)
+                cuts = np.searchsorted(rest, starts).tolist() + [len(rest)]
+                words, times = [], []
+                for d, w in enumerate(split):
+                    some = Counter([w[i] for i in (rest[cuts[d] : cuts[d + 1]] - starts[d]).tolist()])
+                    words.append(list(some))
+                    times.append(list(some.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip((rows[at : at + 250], sizes, seen, based, neural, words, times), SCORED_ARROW)], schema=SCORED_ARROW
+                )
 
     return run
 
@@ -294,7 +437,7 @@ def _rare_classes(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            at = v.ids(batch.column("word").cast(pa.binary()).to_pylist())
+            at = v.classes[v.codes(batch.column("word").cast(pa.binary()).to_pylist())].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(at)], names=["word", "n", "class"])
 
     return run
@@ -307,7 +450,9 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     documents are trained on. A null text counts as empty and has one token, its end. n_known counts
     the tokens that occur in training. base_score is the add-half unigram log10 probability, with one
     type for unknown words; score the model's. Repeated rows are scored, and trained on, each. Without
-    any training document the model is the same for all classes.
+    any training document the model is the same for all classes. Texts are read whole, of any length;
+    other columns are not read; an empty table gives an empty result. head_words: words that have
+    vectors of their own, which the score depends on; of words that tie at that limit none has.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -320,10 +465,11 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     counts = scratch.keep(map_arrow(training, _counts(), COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # at most head_words words of HEAD_BYTES bytes; the end is always among them
-    top = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(head_words)
+    top = commonest(counts.filter(F.octet_length("word") <= HEAD_BYTES), head_words)
     head = [(r["word"], r["n"]) for r in top.collect()]
     if n and END not in dict(head):
         head.append((END, counts.filter(F.col("word") == END).first()["n"]))
+    head.sort(key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(head)
     shared = sc.broadcast(vocabulary)
     sums = map_arrow(counts, _class_sums(shared), CLASS_SUMS).groupBy("class").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect()
@@ -331,18 +477,37 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     for r in sums:
         class_n[r["class"]], class_types[r["class"]] = r["n"], r["types"]
     unigram = (class_n + 0.5) / (class_n + 0.5).sum()
-
-    start = Weights.start(unigram).flat().astype(np.float64)
-    trained = average(map_arrow(training, _train(shared, start, unigram), WEIGHTS), scratch)
-    first, second, z = Weights.shaped(start if trained is None else trained).tables()
-
-    whole = np.log10(n + 0.5 * (types + 1))
-    # a class of one word has no type for unknown words; the others share all words that are not head's own
+    # a class of one word has no type for unknown words; the others share all words that have no class of their own
     own = np.arange(CLASSES) <= SINGLE
     inner_total = np.where(own, 1.0, class_n + 0.5 * (class_types + 1))
-    log_base = {w: float(np.log10(c + 0.5) - whole) for w, c in vocabulary.count.items()}
-    log_inner = {w: 0.0 if w in vocabulary.single else float(np.log10((c + 0.5) / inner_total[vocabulary.classes[w]])) for w, c in vocabulary.count.items()}
-    tables = sc.broadcast((first, second, z, log_base, log_inner))
+    classes = vocabulary.classes[: len(vocabulary)]
+    in_head = np.bincount(classes, vocabulary.count + 0.5, CLASSES)
+    shares = (vocabulary.count + 0.5) / in_head[classes]
+
+    shards = max(1, round(int(n) / SHARD))
+    rounds = min(ROUNDS, shards)
+    state = State(Weights.start(unigram, np.log(shares))).flat()
+    identity = F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text")
+    coded = map_arrow(base.filter("not held_out").select(F.pmod(identity, F.lit(shards)).alias("shard"), F.xxhash64(F.lit(1), "doc_id", "text").alias("hash"), "text"), _encode(shared), CODED)
+    coded = scratch.keep(coded, "codes")
+    for k in range(rounds if n else 0):
+        some = coded.filter(F.col("shard") % rounds == k).repartition(max(1, -(-shards // rounds)), "shard").sortWithinPartitions("shard", "hash")
+        start = sc.broadcast(state)
+        trained = average(map_arrow(some, _train(shared, start, unigram, shares), WEIGHTS), scratch, f"round-{k}")
+        state = state if trained is None else trained
+    scratch.drop("codes")
+    weights = State.shaped(state, len(vocabulary)).weights
+    first, second, z = weights.tables()
+
+    whole = np.log10(n + 0.5 * (types + 1))
+    # of a class that several words share, the head's part is the second level's
+    log_share = np.log10(in_head / inner_total, out=np.zeros(CLASSES), where=in_head > 0)
+    log_inner = np.where(vocabulary.shared[: len(vocabulary)], log_share[classes], 0.0)
+    log_base = np.log10(vocabulary.count + 0.5) - whole
+    inner_z = weights.inner_table(classes)
+    tables = sc.broadcast((first, second, z, weights.inner_r, weights.inner_q, weights.inner_b, inner_z, log_base, log_inner))
+    del weights, first, second, z, inner_z
+    free_memory()
     rows = base.withColumn("row", F.monotonically_increasing_id())
     ids = ("row", "doc_id", "held_out")
     # one write of scores and ids together, so that row numbers hold whatever is computed again

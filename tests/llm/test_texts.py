@@ -608,10 +608,63 @@ def test_base_scores(spark, messy, head):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5])
 
 
-def test_scores_do_not_depend_on_the_head(spark):
-    docs = spark.createDataFrame([(k, prose(k % 37, 40)) for k in range(80)], "doc_id long, text string").coalesce(1)
-    a, b = ({r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, h).collect()} for h in (lm_score.SINGLE + 10, 100_000))
-    assert all(a[k] == pytest.approx(b[k], rel=1e-4) for k in a)
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD", 1500)
+    docs = [(k, prose(k % 37, 40)) for k in range(200)]
+    runs = []
+    for parts in (1, 4, 16):
+        rows = spark.createDataFrame(random.Random(parts).sample(docs, len(docs)), "doc_id long, text string").repartition(parts)
+        runs.append({r["doc_id"]: r["score"] for r in lm_score.score_documents(rows).collect()})
+    assert all(runs[0][k] == pytest.approx(r[k], rel=1e-6) for r in runs[1:] for k in runs[0])
+
+
+def test_scores_are_those_of_the_weights():
+    """All words of a small vocabulary, unknown ones included, have probabilities that sum to one."""
+    r = random.Random(2)
+    words_ = sorted({"".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(900)})
+    v = lm_score.Vocabulary([("", 50), *((w, 40 - k // 30) for k, w in enumerate(words_))])
+    n, classes = len(v), v.classes[: len(v)]
+    in_head = np.bincount(classes, v.count + 0.5, lm_score.CLASSES)
+    shares = (v.count + 0.5) / in_head[classes]
+    unigram = (in_head + 0.5) / (in_head + 0.5).sum()
+    state = lm_score.State(lm_score.Weights.start(unigram, np.log(shares)))
+    again = lm_score.State.shaped(state.flat(), n)
+    assert all((a == b).all() for a, b in zip(state.weights.all(), again.weights.all()))
+    trainer = lm_score.Trainer(state, unigram, classes, shares, 3)
+    code = np.array([r.randrange(n) for _ in range(4096)])
+    target, one, two = lm_score._contexts([v.classes[code]])
+    for _ in range(5):
+        trainer.batch(target, one, two)
+        k = np.flatnonzero(v.shared[code])
+        k = k[np.argsort(target[k], kind="stable")]
+        trainer.inner_batch(code[k], target[k], one[k])
+    w = state.weights
+    z = w.inner_table(classes)
+    for c in (1 + lm_score.SINGLE + 3, 7):
+        for k in np.unique(classes[v.shared[:n]])[:20]:
+            own = np.flatnonzero(classes == k)
+            lp = w.inner_q[own] @ w.inner_r[c] + w.inner_b[own] - z[k, c]
+            assert np.exp(lp.astype(np.float64)).sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_words_within_a_class_are_learnt():
+    """Two words of one class that follow different words are told apart by the second level."""
+    pairs = [(f"x{k}", f"{'bcdfghkl'[k % 8]}{k}anto") for k in range(60)]
+    v = lm_score.Vocabulary([("", 500), *((f"filler{k}", 400) for k in range(lm_score.SINGLE - 60)), *((a, 300) for a, _ in pairs), *((b, 60) for _, b in pairs)])
+    n, classes = len(v), v.classes[: len(v)]
+    shares = (v.count + 0.5) / np.bincount(classes, v.count + 0.5, lm_score.CLASSES)[classes]
+    unigram = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    state = lm_score.State(lm_score.Weights.start(unigram, np.log(shares)))
+    trainer = lm_score.Trainer(state, unigram, classes, shares, 3)
+    r = random.Random(1)
+    some = [r.choice(pairs) for _ in range(30_000)]
+    word, own, before = (np.array(x) for x in zip(*((v.code[b.encode()], classes[v.code[b.encode()]], classes[v.code[a.encode()]]) for a, b in some)))
+    assert len(np.unique(own)) == 1
+    for at in range(0, len(word), 500):
+        trainer.inner_batch(word[at : at + 500], own[at : at + 500], before[at : at + 500])
+    w, z = state.weights, state.weights.inner_table(classes)
+    lp = (w.inner_q[word] * w.inner_r[before]).sum(1) + w.inner_b[word] - z[own, before]
+    assert lp.mean() > np.log(shares[word]).mean() + 1
 
 
 def test_model_beats_the_unigram_on_held_out_text(spark):
@@ -631,7 +684,7 @@ def test_empty_corpora(spark, nothing):
 
 
 def test_class_probabilities_sum_to_one():
-    w = lm_score.Weights.start(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES))
+    w = lm_score.Weights.start(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES), np.zeros(3))
     first, second, z = w.tables()
     p = np.exp(first[3] + second[7] - z[3, 7])
     assert p.sum() == pytest.approx(1, rel=1e-4)

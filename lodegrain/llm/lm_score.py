@@ -40,7 +40,7 @@ HEAD, HEAD_BYTES = 60_000, 256
 SINGLE, ENDINGS, WIDTH, INNER_WIDTH = 384, 128, 16, 8
 CLASSES = 1 + SINGLE + ENDINGS
 NOISE, INNER_NOISE, BATCH, RATE, FIRST = 48, 8, 2048, 0.1, 1e-6
-SHARD, ROUNDS = 4_000_000, 4
+SHARD, ROUNDS = 2_000_000, 4
 REMEMBERED = 300_000
 FOLDS, HELD_OUT = 5, 1
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

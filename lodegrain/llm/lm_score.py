@@ -39,7 +39,7 @@ END = ""
 HEAD, HEAD_BYTES = 60_000, 256
 SINGLE, ENDINGS, WIDTH, INNER_WIDTH = 384, 128, 16, 8
 CLASSES = 1 + SINGLE + ENDINGS
-NOISE, INNER_NOISE, BATCH, RATE, FIRST = 48, 8, 2048, 0.1, 1e-6
+NOISE, INNER_NOISE, BATCH, RATE, FIRST = 40, 5, 4096, 0.1, 1e-6
 SHARD, ROUNDS = 2_000_000, 4
 REMEMBERED = 300_000
 FOLDS, HELD_OUT = 5, 1
@@ -47,12 +47,12 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 COUNTS = "word string, n long"
 COUNTS_ARROW = pa.schema([("word", pa.string()), ("n", pa.int64())])
-SCORED = "row long, n_tokens long, n_known long, known double, neural double, words array<string>, times array<int>"
-SCORED_ARROW = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("neural", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
+IDS = "row long, doc_id long, held_out boolean, shard long, hash long"
+CODED = f"{IDS}, codes binary, words array<string>, times array<int>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, known double, neural double"
+SCORED_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known", pa.float64()), ("neural", pa.float64())])
 WEIGHTS = "shard long, tokens long, weights binary"
 WEIGHTS_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.int64()), ("weights", pa.binary())])
-CODED = "shard long, hash long, codes binary"
-CODED_ARROW = pa.schema([("shard", pa.int64()), ("hash", pa.int64()), ("codes", pa.binary())])
 CLASS_SUMS = "class int, n long, types long"
 
 def tokens(text: str) -> list[bytes]:
@@ -187,7 +187,8 @@ class Trainer:
 
     @staticmethod
     def _sparse(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at, kind="stable")
+        # numpy sorts 16-bit numbers by their digits
+        order = np.argsort(at.astype(np.uint16) if HEAD < 1 << 16 else at, kind="stable")
         own = at[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         return own[starts], np.add.reduceat(rows[order], starts)
@@ -202,21 +203,20 @@ class Trainer:
     def batch(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         w = self.w
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), CLASSES - 1)
-        r1, r2 = w.r[one], w.r[two]
+        r1, r2, q, nq = w.r[one], w.r[two], w.q[target], w.q[noise]
         h = r1 @ w.c[0] + r2 @ w.c[1]
-        sure = (h * w.q[target]).sum(1) + w.b[target] - self.log_noise[target]
-        false = h @ w.q[noise].T + (w.b[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(sure, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        scale = np.float32(1 / len(target))
-        gh = (up[:, None] * w.q[target] + down @ w.q[noise]) * scale
-        gq = self._add(target, up[:, None] * h * scale, CLASSES)
-        np.add.at(gq, noise, down.T @ h * scale)
+        up, down = _errors(np.einsum("ij,ij->i", h, q) + (w.b - self.log_noise)[target], h @ nq.T + (w.b[noise] - self.log_noise[noise]), len(target))
+        gh = up[:, None] * q + down @ nq
+        gq = self._add(target, up[:, None] * h, CLASSES)
         gb = np.bincount(target, up, CLASSES).astype(np.float32)
-        np.add.at(gb, noise, down.sum(0))
-        gr = self._add(one, gh @ w.c[0].T, CLASSES) + self._add(two, gh @ w.c[1].T, CLASSES)
+        own, at = np.unique(noise, return_inverse=True)
+        for k, rows in ((gq, down.T @ h), (gb, down.sum(0))):
+            sums = np.zeros((len(own), *rows.shape[1:]), np.float32)
+            np.add.at(sums, at, rows)
+            k[own] += sums
+        gr = self._add(np.concatenate((one, two)), np.concatenate((gh @ w.c[0].T, gh @ w.c[1].T)), CLASSES)
         gc = np.stack([r1.T @ gh, r2.T @ gh])
-        for k, (x, g) in enumerate(((w.r, gr), (w.c, gc), (w.q, gq), (w.b, gb * scale))):
+        for k, (x, g) in enumerate(((w.r, gr), (w.c, gc), (w.q, gq), (w.b, gb))):
             self._step(k, x, g)
 
     def inner_batch(self, word: np.ndarray, own: np.ndarray, one: np.ndarray) -> None:
@@ -224,32 +224,36 @@ class Trainer:
         if not len(word):
             return
         w = self.w
-        present, at = np.unique(own, return_inverse=True)
+        new = np.append(True, own[1:] != own[:-1])
+        starts, at = np.flatnonzero(new), np.cumsum(new) - 1
+        present = own[starts]
         lo, hi = self.inner_sums[self.firsts[present]], self.inner_sums[self.firsts[present + 1]]
         drawn = lo[:, None] + self.rng.random((len(present), INNER_NOISE)) * (hi - lo)[:, None]
         place = np.searchsorted(self.inner_sums, drawn, "right") - 1
         noise = self.order[np.clip(place, self.firsts[present][:, None], self.firsts[present + 1][:, None] - 1)]
-        v, q = w.inner_r[one], w.inner_q[word]
-        sure = (v * q).sum(1) + w.inner_b[word] - self.log_inner[word]
-        nq = w.inner_q[noise]
-        false = np.matmul(nq[at], v[:, :, None])[:, :, 0] + (w.inner_b[noise] - self.log_inner[noise])[at]
-        up = 1 / (1 + np.exp(np.clip(sure, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        scale = np.float32(1 / len(word))
-        gv = (up[:, None] * q + np.matmul(down[:, None, :], nq[at])[:, 0]) * scale
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        gn = np.add.reduceat(down[:, :, None] * v[:, None, :], starts) * scale
-        gnb = np.add.reduceat(down, starts) * scale
-        rows = np.concatenate((np.concatenate((up[:, None] * v * scale, (up * scale)[:, None]), 1), np.concatenate((gn, gnb[:, :, None]), 2).reshape(-1, INNER_WIDTH + 1)))
-        touched, sums = self._sparse(np.concatenate((word, noise.ravel())), rows)
+        v, q, nq = w.inner_r[one], w.inner_q[word], w.inner_q[noise][at]
+        false = np.einsum("mkd,md->mk", nq, v) + (w.inner_b[noise] - self.log_inner[noise])[at]
+        up, down = _errors(np.einsum("ij,ij->i", v, q) + (w.inner_b[word] - self.log_inner[word]), false, len(word))
+        gv = up[:, None] * q + np.einsum("mk,mkd->md", down, nq)
+        # the last column is the gradient of the bias
+        v1 = np.concatenate((v, np.ones((len(v), 1), np.float32)), 1)
+        gn = np.add.reduceat(down[:, :, None] * v1[:, None, :], starts).reshape(-1, INNER_WIDTH + 1)
+        touched, sums = self._sparse(np.concatenate((word, noise.ravel())), np.concatenate((up[:, None] * v1, gn)))
         g, gb = sums[:, :-1], sums[:, -1]
-        self.sums[5][touched] += (g * g).mean(1)
+        self.sums[5][touched] += np.einsum("ij,ij->i", g, g) / INNER_WIDTH
         w.inner_q[touched] += RATE * g / np.sqrt(self.sums[5][touched])[:, None]
         self.sums[6][touched] += gb * gb
         w.inner_b[touched] += RATE * gb / np.sqrt(self.sums[6][touched])
         self._step(4, w.inner_r, self._add(one, gv, CLASSES))
 
 
+def _errors(sure: np.ndarray, false: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the probabilities of true and of noise words lack, over n, from the log odds of being true."""
+    with np.errstate(over="ignore"):
+        scale = np.float32(1 / n)
+        return scale / (1 + np.exp(sure)), -scale / (1 + np.exp(-false))
+
+
 class Vocabulary:
     """Codes of words, in UTF-8: the number of a head word, or the head's size and the class of another word's ending."""
 
@@ -308,13 +312,23 @@ def _contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _encode(vocabulary):
-    """Rows (shard, hash, text) to codes of their tokens."""
+    """Rows of IDS and text to codes of their tokens, and the words beyond the head with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
+        n = len(v)
+        names = [f.split()[0] for f in CODED.split(", ")]
         for batch in (b for whole in batches for b in W.slices(whole)):
-            codes = [np.array(v.codes(tokens(t)), np.int32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("hash"), pa.array(codes, pa.binary())], schema=CODED_ARROW)
+            codes, words, times = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = tokens(text)
+                code = np.array(v.codes(own), np.int32)
+                some = Counter([own[i] for i in np.flatnonzero(code >= n).tolist()])
+                codes.append(code.tobytes())
+                words.append(list(some))
+                times.append(list(some.values()))
+            columns = [*(batch.column(c) for c in names[:5]), pa.array(codes, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -399,36 +413,26 @@ def average(rows: DataFrame, scratch: Scratch, name: str, fan: int = 32) -> np.n
 
 
 def _score(vocabulary, tables):
+    """Rows of CODED to scores without the words beyond the head."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         n = len(v)
         first, second, z, inner_r, inner_q, inner_b, inner_z, base, inner = tables.value
-        for batch in batches:
-            rows, texts = batch.column("row").to_pylist(), batch.column("text")
-            for at in range(0, len(rows), 250):
-                split = [tokens(t.as_py()) for t in texts.slice(at, 250)]
-                coded = [np.array(v.codes(w), np.int32) for w in split]
-                code, (target, one, two) = np.concatenate(coded), _contexts([v.classes[x] for x in coded])
-                lp = (first[one, target] + second[two, target] - z[one, two]).astype(np.float64)
-                k = np.flatnonzero(v.shared[code])
-                lp[k] += (inner_q[code[k]] * inner_r[one[k]]).sum(1) + inner_b[code[k]] - inner_z[target[k], one[k]]
-                lp = lp / np.log(10)
-                known = code < n
-                lp[known] += inner[code[known]]
-                log_base = np.where(known, base[np.where(known, code, 0)], 0.0) if n else np.zeros(len(code))
-                sizes = np.array([len(w) for w in split])
-                starts = np.cumsum(sizes) - sizes
-                neural, based, seen = (np.add.reduceat(x, starts) for x in (lp, log_base, known.astype(np.int64)))
-                rest = np.flatnonzero(~known)
-                cuts = np.searchsorted(rest, starts).tolist() + [len(rest)]
-                words, times = [], []
-                for d, w in enumerate(split):
-                    some = Counter([w[i] for i in (rest[cuts[d] : cuts[d + 1]] - starts[d]).tolist()])
-                    words.append(list(some))
-                    times.append(list(some.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, f.type) for x, f in zip((rows[at : at + 250], sizes, seen, based, neural, words, times), SCORED_ARROW)], schema=SCORED_ARROW
-                )
+        for batch in (b for whole in batches for b in W.slices(whole)):
+            coded = [np.frombuffer(c.as_py(), np.int32) for c in batch.column("codes")]
+            code, (target, one, two) = np.concatenate(coded), _contexts([v.classes[x] for x in coded])
+            lp = (first[one, target] + second[two, target] - z[one, two]).astype(np.float64)
+            k = np.flatnonzero(v.shared[code])
+            lp[k] += np.einsum("ij,ij->i", inner_q[code[k]], inner_r[one[k]]) + inner_b[code[k]] - inner_z[target[k], one[k]]
+            lp = lp / np.log(10)
+            known = code < n
+            lp[known] += inner[code[known]]
+            based = np.zeros(len(code))
+            based[known] = base[code[known]]
+            sizes = np.array([len(c) for c in coded])
+            sums = [np.add.reduceat(x, np.cumsum(sizes) - sizes) for x in (known.astype(np.int64), based, lp)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held_out")), *(pa.array(x) for x in (sizes, *sums))], schema=SCORED_ARROW)
 
     return run
 
@@ -488,14 +492,14 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     rounds = min(ROUNDS, shards)
     state = State(Weights.start(unigram, np.log(shares))).flat()
     identity = F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63))), "text")
-    coded = map_arrow(base.filter("not held_out").select(F.pmod(identity, F.lit(shards)).alias("shard"), F.xxhash64(F.lit(1), "doc_id", "text").alias("hash"), "text"), _encode(shared), CODED)
-    coded = scratch.keep(coded, "codes")
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.pmod(identity, F.lit(shards)).alias("shard"), F.xxhash64(F.lit(1), "doc_id", "text").alias("hash"), "text")
+    # written once, so that row numbers hold whatever is computed again
+    coded = scratch.keep(map_arrow(numbered, _encode(shared), CODED), "codes")
     for k in range(rounds if n else 0):
-        some = coded.filter(F.col("shard") % rounds == k).repartition(max(1, -(-shards // rounds)), "shard").sortWithinPartitions("shard", "hash")
+        some = coded.filter(~F.col("held_out") & (F.col("shard") % rounds == k)).select("shard", "hash", "codes").repartition(max(1, -(-shards // rounds)), "shard").sortWithinPartitions("shard", "hash")
         start = sc.broadcast(state)
         trained = average(map_arrow(some, _train(shared, start, unigram, shares), WEIGHTS), scratch, f"round-{k}")
         state = state if trained is None else trained
-    scratch.drop("codes")
     weights = State.shaped(state, len(vocabulary)).weights
     first, second, z = weights.tables()
 
@@ -508,11 +512,8 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     tables = sc.broadcast((first, second, z, weights.inner_r, weights.inner_q, weights.inner_b, inner_z, log_base, log_inner))
     del weights, first, second, z, inner_z
     free_memory()
-    rows = base.withColumn("row", F.monotonically_increasing_id())
-    ids = ("row", "doc_id", "held_out")
-    # one write of scores and ids together, so that row numbers hold whatever is computed again
-    scored = scratch.keep(_with_ids(rows, _score(shared, tables), ids), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    scored = map_arrow(coded.select("row", "doc_id", "held_out", "codes"), _score(shared, tables), SCORED)
+    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     tail = map_arrow(counts, _rare_classes(shared), "word string, n long, class int").select("word", "n", "class")
     joined = rare.join(tail, "word", "left")
     # an unknown word needs its class too; classes of known words come with their counts
@@ -527,7 +528,7 @@ def score_documents(docs: DataFrame, head_words: int = HEAD) -> DataFrame:
     )
     extra = parts.groupBy("row").agg(F.sum("seen").alias("seen"), F.sum("base").alias("base"), F.sum("inner").alias("inner"))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("words", "times").join(extra, "row", "left").select(
+    return scored.join(extra, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("seen")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("known") + zero("base")).cast("double").alias("base_score"), (F.col("neural") + zero("inner")).cast("double").alias("score"),
     )
@@ -541,19 +542,5 @@ def _ending_column():
     return (F.lit(1 + SINGLE) + F.crc32(key.cast("binary")) % ENDINGS).cast("int")
 
 
-def _with_ids(rows: DataFrame, function, ids: tuple) -> DataFrame:
-    """Apply function to (row, text) and keep the id columns beside its results."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for out in function(iter([batch])):
-                own = batch.slice(at, out.num_rows)
-                at += out.num_rows
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ids[1:]), *out.columns], names=[*ids[1:], *out.schema.names])
-
-    return map_arrow(rows.select(*ids, "text"), run, f"doc_id long, held_out boolean, {SCORED}")
-
-
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

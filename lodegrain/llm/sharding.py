@@ -1,8 +1,8 @@
 """Sharding by sampled splitters; DataFrame functions only.
 
-Records are ordered by (key, tie). Size-weighted samples of that order give quantile boundaries, a
-key that spans several boundaries gets ranges of its own that are cut along the tie column, and the
-exact bytes of every range then place each group of equal keys in the shard that holds its middle
+Records are ordered by (key, tie, third), where third is a hash that tells rows of equal key and tie
+apart. Size-weighted samples of that order give quantile boundaries, a key that spans several
+boundaries gets ranges of its own that are cut along tie and third, and the exact bytes of every range then place each group of equal keys in the shard that holds its middle
 byte. Only narrow rows are shuffled, and no range is larger than a small part of a shard.
 """
 
@@ -19,41 +19,46 @@ SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot l
 LOWEST = -(1 << 63)
 
 
-def choose_splitters(samples: list[tuple[int, int, int]], ranges: int) -> tuple[list[int], dict[int, list[int]]]:
-    """Key boundaries, and for a key with several boundaries the tie values that cut it.
+def choose_splitters(samples: list[tuple[int, int, int]], ranges: int) -> tuple[list[int], dict[int, list[tuple[int, int]]]]:
+    """Key boundaries, and for a key with several boundaries the values of tie and third that cut it.
 
-    samples: (key, tie, copies). A boundary b starts the range of keys >= b.
+    samples: (key, tie, copies), a tie once for each key. A boundary b starts the range of keys >= b.
+    Rows of equal key and tie are spread evenly over third, so several boundaries among them cut it evenly.
     """
     samples = sorted(samples)
     total = sum(s[2] for s in samples)
-    hits: dict[int, list[int]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
     seen, at = 0, 1
     for key, tie, copies in samples:
         seen += copies
+        own = 0
         while at < ranges and seen * ranges >= at * total:
-            hits.setdefault(key, []).append(tie)
+            own += 1
             at += 1
+        if own:
+            hits.setdefault(key, []).extend((tie, LOWEST + (k << 64) // own) for k in range(own))
     keys: set[int] = set()
-    hot: dict[int, list[int]] = {}
-    for key, ties in hits.items():
+    hot: dict[int, list[tuple[int, int]]] = {}
+    for key, cuts in hits.items():
         keys.add(key)
-        if len(ties) > 1:
-            hot[key] = sorted(set(ties))
+        if len(cuts) > 1:
+            hot[key] = sorted(set(cuts))
             if key < (1 << 63) - 1:
                 keys.add(key + 1)
     return sorted(keys), hot
 
 
-def range_column(key: Column, tie: Column, splitters: list[int], hot: dict[int, list[int]]) -> Column:
-    """Number of the range of a record; the ranges are numbered in the order of (key, tie)."""
+def range_column(key: Column, tie: Column, third: Column, splitters: list[int], hot: dict[int, list[tuple[int, int]]]) -> Column:
+    """Number of the range of a record; the ranges are numbered in the order of (key, tie, third)."""
     cuts = [hot.get(k, []) for k in splitters]
     first = [1 + n for n in cumulative([1 + len(c) for c in cuts])]
     r = rank_of(key, splitters)
     if not splitters:
         return F.lit(0)
     start = F.try_element_at(F.from_json(F.lit(json.dumps(first)), "array<bigint>"), r)
-    inner = F.try_element_at(F.from_json(F.lit(json.dumps(cuts)), "array<array<bigint>>"), r)
-    return F.when(r == 0, F.lit(0)).otherwise((start + F.size(F.filter(inner, lambda x: x <= tie))).cast("int"))
+    written = json.dumps([[{"t": t, "u": u} for t, u in c] for c in cuts])
+    inner = F.try_element_at(F.from_json(F.lit(written), "array<array<struct<t:bigint,u:bigint>>>"), r)
+    return F.when(r == 0, F.lit(0)).otherwise((start + F.size(F.filter(inner, lambda x: (x["t"] < tie) | (x["t"] == tie) & (x["u"] <= third)))).cast("int"))
 
 
 def assign_shards(rows: DataFrame, shards: int = 8, ranges_per_shard: int = 128, rows_per_range: int = 1_000_000, samples_per_range: int = 16) -> DataFrame:
@@ -61,34 +66,37 @@ def assign_shards(rows: DataFrame, shards: int = 8, ranges_per_shard: int = 128,
 
     rows: key long, tie long, size long >= 0 and any other narrow columns. Equal keys stay together
     unless they fill more than about one range, which is 1/ranges_per_shard of a shard; then they are
-    cut along tie. Null keys and ties count as the lowest. Rows equal in key and tie get consecutive
-    slots in any order. An empty input gives an empty result. A column called rng, shard, slot or
-    before in the input raises ValueError.
+    cut along tie, and rows that are equal in it too anywhere. Null keys and ties count as the lowest.
+    Rows equal in key and tie get slots in any order. An empty input gives an empty result. A column
+    called rng, shard, slot, before or third in the input raises ValueError. The driver holds about
+    samples_per_range samples a range.
     """
-    clash = {"rng", "shard", "slot", "before"} & set(rows.columns)
+    clash = {"rng", "shard", "slot", "before", "third"} & set(rows.columns)
     if clash:
         raise ValueError(f"columns already there: {sorted(clash)}")
     spark = rows.sparkSession
     scratch = Scratch(spark, "sharding")
     key, tie = F.coalesce("key", F.lit(LOWEST)), F.coalesce("tie", F.lit(LOWEST))
-    base = scratch.keep(rows, "rows")
+    # written with the rows, so that it stays the same whatever is computed again
+    base = scratch.keep(rows.withColumn("third", F.xxhash64(F.monotonically_increasing_id())), "rows")
     total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     if not n:
-        return base.withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
+        return base.drop("third").withColumn("shard", F.lit(None).cast("int")).withColumn("slot", F.lit(None).cast("long"))
     total = max(1, total)
     ranges = max(shards * ranges_per_shard, -(-n // rows_per_range))
-    # a record of size z is drawn z * samples / total times on average; the draw depends on the record alone
+    # records of equal key and tie, of size z together, are drawn z * samples / total times on average; the draw depends on them alone
     share = F.col("size") * F.lit(ranges * samples_per_range / total)
     chance = F.pmod(F.xxhash64(F.lit("draw"), key, tie), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = base.select(key.alias("key"), tie.alias("tie"), F.floor(share + chance).cast("long").alias("copies")).filter("copies > 0")
+    grouped = base.groupBy(key.alias("key"), tie.alias("tie")).agg(F.sum("size").alias("size"))
+    drawn = grouped.select("key", "tie", F.floor(share + chance).cast("long").alias("copies")).filter("copies > 0")
     splitters, hot = choose_splitters([tuple(r) for r in drawn.collect()], ranges)
 
-    dealt = base.withColumn("rng", range_column(key, tie, splitters, hot))
+    dealt = base.withColumn("rng", range_column(key, tie, F.col("third"), splitters, hot))
     found = {r["rng"]: r["bytes"] for r in dealt.groupBy("rng").agg(F.sum("size").alias("bytes")).collect()}
     last = max(found)
     offsets = cumulative([found.get(r, 0) for r in range(last + 1)])
     offset = F.element_at(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col("rng") + 1)
-    in_order = Window.partitionBy("rng").orderBy(key, tie)
+    in_order = Window.partitionBy("rng").orderBy(key, tie, "third")
     group = Window.partitionBy("rng", key)
     before = F.coalesce(F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     middle = offset + F.min("before").over(group) + F.sum("size").over(group) / 2
@@ -102,8 +110,8 @@ def assign_shards(rows: DataFrame, shards: int = 8, ranges_per_shard: int = 128,
         at[shard] = at.get(shard, 0) + c
     # one row for each range and shard that it touches: at most ranges + shards, so broadcast is bounded
     starts = F.broadcast(literal_rows(spark, firsts, "rng int, shard int, first long"))
-    number = F.row_number().over(Window.partitionBy("rng", "shard").orderBy(key, tie)) - 1
-    return placed.withColumn("slot", number.cast("long")).join(starts, ["rng", "shard"]).withColumn("slot", F.col("slot") + F.col("first")).drop("rng", "first")
+    number = F.row_number().over(Window.partitionBy("rng", "shard").orderBy(key, tie, "third")) - 1
+    return placed.withColumn("slot", number.cast("long")).join(starts, ["rng", "shard"]).withColumn("slot", F.col("slot") + F.col("first")).drop("rng", "first", "third")
 
 
 def write_shards(records: DataFrame, path: str) -> None:
@@ -116,6 +124,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Documents dealt to shards of near-equal bytes (law `bytes`); equal texts lie next to each other.
 
     A null text has no bytes and size 1. Null doc_ids and repeated rows are kept, each with its slot.
+    Texts are read whole, but only their length and hashes go on; other columns are not read. An empty
+    table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(

@@ -52,6 +52,16 @@ def test_hot_text_is_cut_and_sizes_are_equal(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in out} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
 
 
+def test_equal_rows_are_spread(spark):
+    rows = [(None, None)] * 900 + [(k, "some text"[: k % 9]) for k in range(100)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes = check_shards(out, 1000)
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.05 * min(sizes.values()) + 9
+    many = [(None, None)] * 9000 + [(k, "x") for k in range(100)]
+    sizes = check_shards(sharding.shard_documents(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect(), 9100)
+    assert max(sizes.values()) <= 1.02 * min(sizes.values())
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(k, prose(k, 10)) for k in range(50)], "doc_id long, text string")
     placed = docs.join(sharding.shard_documents(docs, 4), "doc_id")
@@ -69,10 +79,10 @@ def test_splitters_cover_samples(keys, ranges):
 def test_rank_and_range_columns(spark):
     r = random.Random(1)
     cuts = sorted(r.sample(range(1000), 37))
-    hot = {cuts[5]: [10, 20], cuts[20]: [5]}
+    hot = {cuts[5]: [(10, 0), (20, 0), (20, 50)], cuts[20]: [(5, -3)]}
     cuts = sorted({*cuts, *(k + 1 for k in hot)})  # a hot key has a range of its own
     rows = [(k, t) for k in range(0, 1000, 7) for t in (0, 10, 15, 25)] + [(c, t) for c in cuts for t in (0, 10, 25)]
-    got = spark.createDataFrame(rows, "key long, tie long").select("key", "tie", rank_of(F.col("key"), cuts).alias("r"), sharding.range_column(F.col("key"), F.col("tie"), cuts, hot).alias("g")).collect()
+    got = spark.createDataFrame(rows, "key long, tie long").select("key", "tie", rank_of(F.col("key"), cuts).alias("r"), F.col("tie").alias("third"), sharding.range_column(F.col("key"), F.col("tie"), F.col("tie"), cuts, hot).alias("g")).collect()
     assert all(x["r"] == sum(c <= x["key"] for c in cuts) for x in got)
     ordered = sorted(got, key=lambda x: (x["key"], x["tie"]))
     assert [x["g"] for x in ordered] == sorted(x["g"] for x in ordered)

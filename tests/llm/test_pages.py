@@ -89,3 +89,38 @@ def test_broken_archives():
         list(warc.records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
     with pytest.raises(ValueError):
         list(warc.records(b"HTTP/1.1\r\n\r\n"))
+
+
+def test_languages_without_known_stop_words():
+    menu = "<ul><li><a href=/a>Prima</a></li><li><a href=/b>Seconda</a></li></ul>"
+    story = "La pioggia cade sulla valle e il fiume sale piano, mentre i contadini guardano il cielo dalle case della collina."
+    assert H.extract(f"<html><body>{menu}<div><p>{story}</p><p>Breve.</p></div><div>Tutti i diritti riservati 2024</div></body></html>") == f"{story}\nBreve."
+    han = "雨落在山谷里，河水慢慢地上涨，农民们从山上的房子里看着天空，不知道明天会怎么样，但是他们都不害怕。" * 3
+    assert H.extract(f"<body><div><a href=/>首页</a> <a href=/n>新闻</a></div><p>{han}</p><div>版权所有 © 2024</div></body>") == han
+    other = "Zorbu klamenti vestora plinku, hastole mervinda crupal ostiren. Belmu karavent hosti plemidor vantes kurio melanta."
+    assert H.extract(f"<body><div><a href=/>Hem</a></div><p>{other}</p><div>Rixtu 2024</div></body>") == other
+
+
+def test_the_longer_part_is_the_main_one():
+    story = "The main story of the day is that the river has risen and that the people of the town are waiting for it to fall again. " * 4
+    page = f"<body><article class=card><h3>Teaser one</h3></article><article class=card><h3>Teaser two</h3></article><div id=content><p>{story}</p></div></body>"
+    assert H.extract(page).split("\n")[-1] == story.strip() and "story" in H.extract(page)
+    page = f"<body><article><p>{story}</p></article><div><p>Some of the readers have said that this is not what they were told by the town at all.</p></div></body>"
+    assert H.extract(page) == story.strip()
+
+
+def test_names_of_subjects_are_no_places():
+    for name in ("share-price", "social-history"):
+        text = "The price of the share has been falling for most of the week and it is not known when this will be over for the owners."
+        assert H.extract(f"<body><div class='{name}'><p>{text}</p></div></body>") == text
+    story = "The river has been rising for most of the week and it is not known when this will be over for the people of the town."
+    assert H.extract(f"<body><p>{story}</p><div class='share-buttons'><p>Share this with all of your friends and with the people that you know from your work and from home.</p></div></body>") == story
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    for piece in ("<div><b>x</i>", "<b><div></b>", "<p><i>y</b></div>"):
+        start = time.time()
+        H.extract(piece * 20_000)
+        assert time.time() - start < 5

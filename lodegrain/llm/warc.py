@@ -5,7 +5,8 @@ never move. Every record is then written with fresh headers: the record of the l
 of equal payloads as response, the others as revisits that refer to it.
 
 Archives are written by Spark's text writer, whose line separator is the end of a WARC record, so any
-file system that Spark writes to will do. Compressed files hold all their records in one gzip member.
+file system that Spark writes to will do. Compressed files hold all their records in one gzip member,
+and are read whole, so they are cut by bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, small_join
 
 END = "\r\n\r\n"
+#: Bytes of payloads in a file, about, and the bounds of the classes of sizes that are written apart.
+FILE_BYTES, SIZES = 64 << 20, (32 << 10, 1 << 20, 64 << 20)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -68,7 +71,7 @@ def record_text(date: str) -> Column:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", F.coalesce(_id(F.col("page_id")), F.lit("<urn:page:>"))),
+        _line("WARC-Record-ID", F.coalesce(_id(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -80,12 +83,24 @@ def record_text(date: str) -> Column:
     return F.concat(head, F.lit("\r\n"), block)
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000, compress: bool = True) -> None:
-    """Write pages (page_id, url, html) as deduplicated WARC files below path, which must not exist."""
+def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 2000, compress: bool = True, file_bytes: int = FILE_BYTES) -> None:
+    """Write pages (page_id, url, html) as deduplicated WARC files below path, which must not exist.
+
+    A file holds records_per_file records and about file_bytes bytes at most, or one record: pages of
+    like size are written together. Null html is an empty payload;
+    records of a null page_id have ids of their own. Repeated rows are records each. Other columns of
+    pages are not read; an empty table gives no record.
+    """
     scratch = Scratch(pages.sparkSession, "warc-headers")
     rows = resolve_revisits(pages, scratch)
-    writer = rows.select(record_text(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", "gzip" if compress else "none").text(path)
+    biggest = _headed(pages).agg(F.coalesce(F.max("payload_bytes"), F.lit(0))).first()[0]
+    for low, high in zip((0, *SIZES), (*SIZES, None)):
+        if low > biggest:
+            break
+        own = rows.filter((F.col("payload_bytes") >= low) & (F.lit(True) if high is None else F.col("payload_bytes") < high))
+        most = min(records_per_file, max(1, file_bytes // high)) if high else 1
+        writer = own.select(record_text(date).alias("value")).write.mode("append" if low else "error").option("lineSep", END).option("maxRecordsPerFile", most)
+        writer.option("compression", "gzip" if compress else "none").text(path)
     scratch.release()
 
 
@@ -133,7 +148,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _described(head: dict[str, str], block: bytes) -> tuple:
-    number = lambda name: int(x) if (x := head.get(name, "")[10:-1]) else None
+    number = lambda name: int(x[10:-1]) if (x := head.get(name, "")).startswith("<urn:page:") else None
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = head["warc-payload-digest"].removeprefix("sha1:")
     if head["warc-type"] == "revisit":

@@ -84,6 +84,24 @@ def test_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    big = "y" * (3 << 20)
+    rows = [(k, f"http://x/{k}", f"{k}{'z' * 40_000}") for k in range(12)] + [(100 + k, "http://b", f"{k}{big}") for k in range(3)] + [(None, "http://n", "small")] * 2
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), compress=False, file_bytes=1 << 21)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert sum(s > 1 << 21 for s in sizes) == 3 and len(sizes) >= 3 + 6 + 1
+    out = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["page_id"] is None, r["page_id"] or 0, r["payload_bytes"]) for r in out) == sorted((p is None, p or 0, len(h)) for p, _, h in rows)
+
+
+@pytest.mark.parametrize("size", [64 << 20])
+def test_a_page_of_64_mb(spark, tmp_path, size):
+    rows = spark.range(2).selectExpr("id as page_id", "'http://x' as url", f"repeat('0123456789abcdef', {size // 16}) as html").coalesce(1)
+    warc.write_archives(rows, str(tmp_path / "w"))
+    out = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert out[1]["record_type"] == "response" and out[0]["refers_to"] == 1 and out[0]["payload_bytes"] == out[1]["payload_bytes"] == size
+
+
 def test_broken_archives():
     with pytest.raises(ValueError):
         list(warc.records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))

@@ -230,6 +230,77 @@ def test_planted_passages(spark):
     assert left[71] == texts[71]
 
 
+def _passages(spark, rows):
+    return {(r["doc_id"], r["from_doc_id"]): r["n_words"] for r in substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+
+
+@pytest.mark.parametrize("copies", [1, 12])
+def test_passages_whose_parts_stand_earlier(spark, copies):
+    """The first places of a passage's seeds lie in documents that hold parts of it; a later one holds all."""
+    p = prose(1, 80).split()
+    around = lambda k, t: (k, f"{prose(1000 + k, 60)} {t} {prose(5000 + k, 60)}")
+    rows = [around(k * copies + j, " ".join(p[8 * k : 8 * k + 16])) for k in range(9) for j in range(copies)]
+    assert _passages(spark, [*rows, around(500, " ".join(p)), around(600, " ".join(p))]) == {(600, 500): 80}
+
+
+def test_passages_of_one_word(spark):
+    got = _passages(spark, [(1, "word " * 40_000), (2, "word " * 39_999), (3, prose(1, 100))])
+    assert got[2, 1] == 39_999 and {d for d, _ in got} == {1, 2}
+
+
+def test_hot_seeds_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(substring, "_hot_seeds", lambda rows, seed, parts: (hot, 3))
+    shared = prose(50, 70)
+    rows = [(k, f"{prose(100 + k, 30)} {shared} {prose(300 + k, 30)}") for k in range(30)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([0] * 30), pa.array([t for _, t in rows])], names=["doc_id", "tie", "text"])
+    h = Counter(x for b in substring._seed(50, 0.8)(iter([batch])) for x in b.column("h").to_pylist())
+    hot = [x for x, n in h.items() if n == 30]
+    assert len(hot) > 10
+    assert {d for d, _ in _passages(spark, rows)} == set(range(1, 30))
+
+
+@pytest.mark.parametrize(("words_", "share"), [(50, 0.18), (60, 0.2), (80, 0.2)])
+def test_recall_of_changed_passages(spark, words_, share):
+    r, rows = random.Random(words_), []
+    for k in range(60):
+        p = prose(10_000 * words_ + k, words_ + 2).split()
+        changed = list(p)
+        for i in r.sample(range(1, words_ + 1), round(share * words_)):
+            changed[i] = f"zz{i}"
+        rows += [(k, f"{prose(20_000 + k, 60)} {' '.join(p)} {prose(30_000 + k, 60)}"), (1000 + k, f"{prose(40_000 + k, 60)} {' '.join(changed)} {prose(50_000 + k, 60)}")]
+    got = {d for d, _ in _passages(spark, rows)}
+    assert got <= set(range(1000, 1060)) and len(got) >= 0.9 * 60
+
+
+def test_verbatim_passages_against_brute_force(spark):
+    """Runs of 50 words that stand in an earlier document lie in passages: nearly all as a whole, and the
+    rest, where a passage goes on by a few words in another document, by half at least."""
+    r = random.Random(8)
+    pool = [prose(600 + k, r.choice((8, 15, 30, 55, 90))) for k in range(14)]
+    rows = [(k, " ".join(x for _ in range(4) for x in (prose(9000 + 10 * k + _, r.randint(3, 25)), r.choice(pool), r.choice(pool)))) for k in range(60)]
+    texts = dict(rows)
+    held: dict[int, list[tuple[int, int]]] = {}
+    for x in substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        held.setdefault(x["doc_id"], []).append((x["start_char"], x["end_char"]))
+    seen: set[tuple] = set()
+    total = missed = 0
+    least = 50
+    for d, text in sorted(texts.items()):
+        spans = [m.span() for m in re.finditer(r"\S+", text)]
+        own = text.lower().split()
+        runs = [tuple(own[i : i + 50]) for i in range(len(own) - 49)]
+        for i, run in enumerate(runs):
+            if run in seen:
+                total += 1
+                a, b = spans[i][0], spans[i + 49][1]
+                missed += not any(p <= a and b <= q for p, q in held.get(d, []))
+                least = min(least, sum(any(p <= x and y <= q for p, q in held.get(d, [])) for x, y in spans[i : i + 50]))
+        seen.update(runs)
+    assert total > 200 and missed <= 0.03 * total and least >= 25
+
+
 def test_messy_passages(spark, messy, nothing):
     got = substring.find_passages(messy).collect()
     assert {r["doc_id"] for r in got} == {3}

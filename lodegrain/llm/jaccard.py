@@ -6,6 +6,10 @@ them with the target recall. Texts that share a band are compared with pivots of
 in each round a bucket's pivot is the text, of those not yet linked in it, that shares most bands with
 others; buckets that still hold several classes after the rounds are compared in blocks. Every link is checked on the full sets
 of shingles, and classes are the connected components of the links.
+
+These links suffice for the classes, but are not all links. As linked texts are of one class, the others
+are found within classes: every two texts of a class are compared on their full sets, in blocks, and
+each text's links are counted where they are found, so that no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -24,10 +28,15 @@ from .common import Scratch, free_name, map_arrow
 
 THRESHOLD, ROWS, RECALL = 0.8, 4, 0.9999
 ROUNDS, BLOCK, COMMON = 2, 512, 2
+#: Bytes of text in a block of a class, about, and shingles in a step of a matrix product.
+BLOCK_BYTES, WIDTH = 1 << 23, 1 << 12
 BANDS = "tid long, bands array<long>"
 BANDS_ARROW = pa.schema([("tid", pa.int64()), ("bands", pa.list_(pa.int64()))])
 LINKS = "a long, b long, similarity double"
 LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+COUNTS = "tid long, n long"
+COUNTS_ARROW = pa.schema([("tid", pa.int64()), ("n", pa.int64())])
+ALONE = 2
 
 
 def band_count(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, common: int = 1) -> int:
@@ -155,6 +164,61 @@ def _blocks(threshold: float):
     return run
 
 
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of left has in common with each of right."""
+    sets = left if right is left else left + right
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        a, b = np.searchsorted(column, (low, low + WIDTH))
+        has = np.zeros((len(sets), int(column[b - 1]) + 1 - low), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        out += has[: len(left)] @ has[len(sets) - len(right) :].T
+    if right is left:
+        np.fill_diagonal(out, [len(x) for x in sets])  # with those that no other set has
+    return out
+
+
+def _count(threshold: float):
+    """Rows (task, side, tid, text), sorted by task, to (tid, n): the texts of the other side that a text is linked to.
+
+    A task holds a block on each of sides 0 and 1, or one block, side ALONE, that is compared with itself.
+    """
+
+    def counts(sides: tuple) -> Iterator[pa.RecordBatch]:
+        alone = bool(sides[ALONE])
+        left, right = (sides[ALONE], sides[ALONE]) if alone else sides[:2]
+        if not left or not right:
+            return
+        (a, x), (b, y) = zip(*left), zip(*right)
+        x = list(x)
+        y = x if alone else list(y)
+        both = in_common(x, y)
+        near = both / (np.array([[len(s)] for s in x]) + np.array([len(s) for s in y]) - both) >= threshold
+        if alone:
+            np.fill_diagonal(near, False)
+        for tids, n in ((a, near.sum(1)),) if alone else ((a, near.sum(1)), (b, near.sum(0))):
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(n, pa.int64())], schema=COUNTS_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sides = None, ([], [], [])
+        for batch in (b for whole in batches for b in words.slices(whole)):
+            tasks, places, tids = (batch.column(c).to_pylist() for c in ("task", "side", "tid"))
+            for t, side, tid, own in zip(tasks, places, tids, shingle_sets(batch.column("text").to_pylist())):
+                if t != task:
+                    yield from counts(sides)
+                    task, sides = t, ([], [], [])
+                sides[side].append((tid, own))
+        yield from counts(sides)
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """(tid, label) for every end of links (a, b); label is the least tid of its component.
 
@@ -181,8 +245,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "labels") -> Data
     return edges.select(F.col("u").alias("tid"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("tid"), F.col("v").alias("label")).distinct())
 
 
-def find_links(texts: DataFrame, scratch: Scratch, bands: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between distinct texts that share a band.
+def find_links(texts: DataFrame, scratch: Scratch, bands: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between distinct texts that share a band, as many as connect the classes; and (tid, text) of each text that may have links.
 
     texts: (tid, text), with copies; bands: (tid, bands), one row for each distinct text.
     """
@@ -221,7 +285,23 @@ def find_links(texts: DataFrame, scratch: Scratch, bands: DataFrame, threshold:
     work = tasks.join(reps, "tid").join(bands, "tid").select("task", "band", "side", "tid", "label", "bands", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = map_arrow(work.repartition(parts, "task").sortWithinPartitions("task", "band"), _blocks(threshold), LINKS)
-    return verified.unionByName(scratch.keep(more, "links-rest"))
+    return verified.unionByName(scratch.keep(more, "links-rest")), reps
+
+
+def count_links(found: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(tid, n_links) of the texts of classes of several: how many other texts each is linked to.
+
+    found: rows of classes; reps: (tid, text). The texts of a class are dealt to blocks by hash, and every two blocks of it are a task.
+    """
+    blocks = F.ceil(F.greatest(F.col("n_texts") / BLOCK, F.col("n_bytes") / BLOCK_BYTES)).cast("int")
+    dealt = found.filter("n_texts > 1").select("tid", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    side = F.when(F.col("block") == F.col("other"), ALONE).otherwise((F.col("block") > F.col("other")).cast("int"))
+    tasks = dealt.join(reps, "tid").select("label", "tid", "block", "text", other)
+    tasks = tasks.select(F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("task"), side.alias("side"), "tid", "text")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = map_arrow(tasks.repartition(parts, "task").sortWithinPartitions("task"), _count(threshold), COUNTS)
+    return counts.groupBy("tid").agg(F.sum("n").alias("n_links"))
 
 
 def _texts(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -234,24 +314,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tid"))
 
 
-def classes(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """(tid, label, class_id, n_links, n_copies, n_texts) of every distinct text; tid is xxhash64 of the text."""
+def classes(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(tid, label, class_id, n_copies, n_texts, n_bytes) of every distinct text, and (tid, text) of each that may have links; tid is xxhash64 of the text."""
     base = _keyed(docs)
     texts = base.select("tid", "text")
     signed = map_arrow(texts, _sign(band_count(threshold, rows, recall, COMMON), rows), BANDS)
     bands = scratch.keep(signed.groupBy("tid").agg(F.first("bands").alias("bands")), "bands")
-    links = find_links(texts, scratch, bands, threshold)
+    links, reps = find_links(texts, scratch, bands, threshold)
     scratch.drop("bands")
-    labels = components(links, scratch)
-    degree = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = degree.select("a").unionByName(degree.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("tid")).agg(F.count("*").alias("n_links"))
-    ids = base.groupBy("tid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
-    known = ids.join(labels.join(degree, "tid", "left"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    tops = known.filter("n_links is not null").groupBy("label").agg(F.min("low").alias("class_low"), F.count("*").alias("n_texts"))
+    labels = components(links, scratch).withColumn("linked", F.lit(True))
+    ids = base.groupBy("tid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"), F.max(F.octet_length("text")).alias("bytes"))
+    known = ids.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    tops = known.filter("linked").groupBy("label").agg(F.min("low").alias("class_low"), F.count("*").alias("n_texts"), F.sum("bytes").alias("n_bytes"))
     found = known.join(tops, "label", "left").select(
-        "tid", "label", F.coalesce("class_low", "low").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts")
+        "tid", "label", F.coalesce("class_low", "low").alias("class_id"), "n_copies", F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"), F.coalesce("n_bytes", "bytes").cast("long").alias("n_bytes")
     )
-    return scratch.keep(found, "classes")
+    return scratch.keep(found, "classes"), reps
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -259,22 +337,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows: int = R
 
     class_id is the least doc_id of the row's class: texts that are equal, or linked, over any number
     of steps, by a Jaccard similarity of five-word shingles of at least threshold. n_links counts the
-    verified links of the row's text to other texts (a text is linked to pivots and not to all texts
-    that are linked to them, so copies of copies are not expanded), n_copies the rows with the same
-    text, n_texts the distinct texts of the class. A text of one to four words is one shingle; texts without words, null ones among them, are
+    other texts of that similarity to the row's (equal texts are one, so copies are not expanded),
+    n_copies the rows with the same text, n_texts the distinct texts of the class. A text of one to four words is one shingle; texts without words, null ones among them, are
     linked to nothing but their copies. Null doc_ids take no part in choosing class_id; a class of
     them alone has null. Repeated rows are copies. Distinct texts are told apart by a 64-bit hash. Texts
     are read whole, other columns are not read, and an empty table gives an empty result. A pair at the
-    threshold is found with a probability of recall or more; pairs found are verified on full sets.
+    threshold comes into one class with a probability of recall or more; within a class all pairs are
+    compared, on full sets.
     """
-    found = classes(docs, Scratch(docs.sparkSession, "jaccard"), threshold, rows, recall)
-    return _keyed(docs).select("doc_id", "tid").join(found, "tid").select("doc_id", "class_id", "n_links", "n_copies", "n_texts")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found, reps = classes(docs, scratch, threshold, rows, recall)
+    counts = scratch.keep(count_links(found, reps, threshold), "counts")
+    known = found.join(counts, "tid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return _keyed(docs).select("doc_id", "tid").join(known, "tid").select("doc_id", "class_id", "n_links", "n_copies", "n_texts")
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs with one row of each class of near duplicates, that of the least doc_id."""
     tid, label, least = (free_name(docs, n) for n in ("_tid", "_label", "_class"))
-    found = classes(docs, Scratch(docs.sparkSession, "jaccard"), **settings).select(F.col("tid").alias(tid), F.col("label").alias(label), F.col("class_id").alias(least))
+    found = classes(docs, Scratch(docs.sparkSession, "jaccard"), **settings)[0].select(F.col("tid").alias(tid), F.col("label").alias(label), F.col("class_id").alias(least))
     own = lambda d: d.join(found, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(tid)).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(least)))
     kept = own(docs)
     # rows that share the least doc_id of a class: told from narrow columns, as texts rarely need a second shuffle

@@ -107,6 +107,31 @@ def test_blocks_take_over_from_pivots(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block, size", [(512, 1 << 23), (3, 1 << 23), (512, 3000)])
+def test_all_links_are_counted(spark, monkeypatch, block, size):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
+    base = [prose(s, 120) for s in (7, 8)]
+    rows = [(k, altered(base[k % 2], 0.01 * (k % 3), k // 2)) for k in range(44)] + [(100, base[0].upper()), (101, "three plain words"), (102, "Three plain  words"), (103, None)]
+    texts = {t for _, t in rows if t}
+    sets = {t: shingle_set(t) for t in texts}
+    links = {t: sum(u != t and len(x & sets[u]) >= 0.8 * len(x | sets[u]) for u in texts) for t, x in sets.items()}
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[d]["n_links"] for d, _ in rows] == [links.get(t, 0) for _, t in rows]
+    # texts of one class that are not linked themselves, so that a count of the class would not do
+    assert any(got[d]["n_links"] < got[d]["n_texts"] - 1 for d, _ in rows)
+
+
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDTH", 7)
+    r = random.Random(5)
+    sets = [np.array(sorted(r.sample(range(60), r.randint(1, 40))), np.uint64) for _ in range(9)]
+    brute = lambda x, y: [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert jaccard.in_common(sets, sets).tolist() == brute(sets, sets)
+    assert jaccard.in_common(sets[:4], sets[4:]).tolist() == brute(sets[:4], sets[4:])
+    assert jaccard.in_common([sets[0]], [np.array([99], np.uint64)]).tolist() == [[0]]
+
+
 def test_components(spark):
     from lodegrain.llm.common import Scratch
 

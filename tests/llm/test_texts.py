@@ -222,6 +222,29 @@ def test_stretches_against_brute_force():
             assert [s[:2] for s in substring.stretches(pairs, 8, identity)] == brute_stretches(pairs, 8, identity)
 
 
+def test_long_seeds_make_a_row_each(spark, monkeypatch):
+    """What long seeds add to the matches is one row each, so it grows in proportion to a group of texts that share a passage."""
+    before, seen = substring.map_arrow, []
+
+    def recorded(df, function, schema):
+        out = before(df, function, schema)
+        if schema == substring.CHAINS:
+            seen.append((df.count(), out.filter("kind = 1 and from_place = 1").count()))
+        return out
+
+    monkeypatch.setattr(substring, "map_arrow", recorded)
+    passage = prose(70, 45)
+    counts = []
+    for n in (20, 40):
+        seen.clear()
+        rows = [(k, f"{prose(1000 + k, 30)} {passage} {prose(2000 + k, 30)}") for k in range(n)]
+        substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        (_, asked), (made, _) = seen
+        assert 0 < made <= asked
+        counts.append(made)
+    assert counts[1] <= 2.3 * counts[0]
+
+
 def test_stretches_of_one_chain(spark):
     long, line, first, second = prose(301, 100), prose(302, 14), prose(303, 60), prose(304, 60)
     rows = [

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -453,6 +454,42 @@ def test_encoder_on_any_text(text):
     assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_encodes_all_new_words_at_once(tokenizer):
+    encoder, calls = packing.Encoder(packing.default_tokenizer()), []
+    fast = encoder.fast
+    encoder.fast = lambda text: calls.append(text) or fast(text)
+    text = prose(3, 600)
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) <= 2, len(calls)
+
+
+@pytest.mark.parametrize("most", [1 << 25, 100])
+def test_encoder_on_batches(tokenizer, most):
+    encoder = packing.Encoder(packing.default_tokenizer())
+    encoder.MOST = most
+    texts = [None, *ODD, prose(1, 100), None, *ODD[::-1], prose(2, 100), ""] * 2
+    for step in (1, 7, len(texts)):
+        for at in range(0, len(texts), step):
+            some = pa.array(["other", *texts], pa.string()).slice(1 + at, step)
+            got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(some, b"\0\0").to_pylist()]
+            assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in some.to_pylist()]
+    assert len(encoder.encode_all(pa.array([], pa.string()))) == 0
+
+
+def test_packing_cuts_batches_by_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    texts = [prose(k, 1 + 37 * k % 120) if k % 5 else None for k in range(40)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": pa.array(texts, pa.string()), "source": ["a", "b"] * 20})
+    rows = [r for out in packing._tokenise(packing.default_tokenizer(), 0)(iter([batch, batch.slice(0, 0), batch])) for r in out.to_pylist()]
+    before = Counter()
+    assert [r["doc_id"] for r in rows] == [*range(40)] * 2
+    for r in rows:
+        ids = [*tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == ids and (r["doc_tokens"], r["before"], r["part"]) == (len(ids), before[r["source"]], 3)
+        before[r["source"]] += len(ids)
+
+
 def check_pieces(rows, docs, tokenizer, window=1024):
     by = {}
     for r in rows:

@@ -191,7 +191,7 @@ class Scalar(Decoder):
             return Out(F.when(found.isNull(), value), [("one", found)], level)
         if not isinstance(src.dtype, self.accepts):
             return Out(nothing, [("one", F.when(src.column.isNull(), required).otherwise(mismatch(src.dtype.simpleString())))], src.level)
-        value, level = ctx.bind(self.value(src.column, src.dtype), src.level)
+        value, level = ctx.shared(self, src)
         found = F.when(src.column.isNull(), required).when(value.isNull(), mismatch(src.dtype.simpleString())).otherwise(none())
         return Out(value, [("one", found)], level)
 

@@ -59,9 +59,15 @@ def resolve(issues: Column, resolver: messages.Resolver | None = None, locale: s
     return F.transform(issues, one)
 
 
+def each(rows: DataFrame, name: str = "i") -> DataFrame:
+    """The rows of an outer explode that have an issue. A plain explode makes Spark push `size(issues) > 0`
+    below the stages, with all that they bind written out and run once more for each mention."""
+    return rows.filter(F.col(name).isNotNull())
+
+
 def exploded(frame: DataFrame, keys: list[str], issues: str = "issues") -> DataFrame:
     """One row an issue: keys, pos (its place in the row), pointer, path, code, message, meta, custom_message."""
-    rows = frame.select(*keys, F.posexplode(issues).alias("pos", "i"))
+    rows = each(frame.select(*keys, F.posexplode_outer(issues).alias("pos", "i")))
     return rows.select(*keys, "pos", pointer(F.col("i.path")).alias("pointer"), "i.path", "i.code", "i.message", "i.meta", "i.custom_message")
 
 
@@ -88,7 +94,7 @@ def group_by_path(frame: DataFrame, keys: list[str], issues: str = "issues") ->
 
 def summary(frame: DataFrame, issues: str = "issues") -> DataFrame:
     """pointer, code and n over all rows; list indexes are part of the pointer."""
-    rows = frame.select(F.explode(issues).alias("i")).select(pointer(F.col("i.path")).alias("pointer"), F.col("i.code").alias("code"))
+    rows = each(frame.select(F.explode_outer(issues).alias("i"))).select(pointer(F.col("i.path")).alias("pointer"), F.col("i.code").alias("code"))
     return rows.groupBy("pointer", "code").agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .core import NUMBERS, STRINGS, Chain, Decoder, Scalar, _variant, exact, narrowed
+from .core import INTEGERS, NUMBERS, STRINGS, Chain, Decoder, Scalar, _variant, exact, narrowed
 
 PLACES = 18
 DECIMAL = f"decimal(38,{PLACES})"
@@ -140,6 +140,18 @@ def _scaled(text: Column) -> Column:
     return F.when(number.isNotNull() & exact, F.struct(number.alias("number"), X.decimal_scale(text).alias("scale")))
 
 
+def _scaled_number(v: Column, t: T.DataType) -> Column:
+    """_scaled of a typed number. Whole numbers and doubles printed without an exponent take no regular expressions."""
+    text = v.cast("string")
+    if isinstance(t, INTEGERS):
+        return F.when(v.isNotNull(), F.struct(v.cast(DECIMAL).alias("number"), F.lit(0).alias("scale")))
+    if not isinstance(t, T.DoubleType):
+        return _scaled(text)
+    places = F.length(text) - F.instr(text, ".")
+    plain = ((F.abs(v) >= 1e-3) & (F.abs(v) < 1e7) | (v == 0)) & (places <= PLACES)
+    return F.when(plain, F.struct(v.try_cast(DECIMAL).alias("number"), places.alias("scale"))).otherwise(_scaled(text))
+
+
 class NumberDecoder(Chain):
     """Rules of numbers."""
 
@@ -335,14 +347,11 @@ def bool_() -> BoolDecoder:
 def decimal_() -> DecimalDecoder:
     """A decimal of 18 places; the scale rule goes by the number as printed, so 1500.0 has scale 1."""
 
-    def value(v: Column, t: T.DataType) -> Column:
-        return _scaled(v.cast("string"))
-
     def variant(v: Column, kind: Column):
         fits, _ = _variant(("BIGINT", "INT", "SMALLINT", "TINYINT", "DECIMAL", "DOUBLE", "FLOAT"), "string")(v, kind)
         return fits, _scaled(F.try_variant_get(v, "$", "string"))
 
-    return DecimalDecoder(Scalar("number", NUMBERS, value, variant))
+    return DecimalDecoder(Scalar("number", NUMBERS, _scaled_number, variant))
 
 
 def date_() -> TemporalDecoder:

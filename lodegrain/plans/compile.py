@@ -67,6 +67,7 @@ class Context:
         self.frame, self.nested, self.depth = frame, nested, depth
         self.stages: list[dict[str, Column]] = []
         self.lets: list[tuple[Column, Column]] = []
+        self.held: dict[tuple, tuple] = {}
 
     def bind(self, column: Column, level: int) -> tuple[Column, int]:
         if self.nested:
@@ -79,6 +80,13 @@ class Context:
         self.stages[level][name] = column
         return F.col(name), level + 1
 
+    def shared(self, decoder, src: Source) -> tuple[Column, int]:
+        """The typed value of a source, bound once for all fields that read it by one decoder."""
+        key = (id(decoder), id(src.column), src.level)
+        if key not in self.held:
+            self.held[key] = (decoder, src.column, self.bind(decoder.value(src.column, src.dtype), src.level))
+        return self.held[key][-1]
+
     def inner(self) -> "Context":
         return Context(self.frame, True, self.depth)
 

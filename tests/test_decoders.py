@@ -382,3 +382,22 @@ def test_equal_keys_keep_their_issues_apart(spark):
 def test_json_names_with_quotes(spark):
     out = run_json(spark, ['{"it\'s": 3}', '{"a\\"b": 4}'], combine(optional_field("it's", int_()), optional_field('a"b', int_())).tuple())
     assert [r[1] for r in out] == [[], []]
+
+
+def test_decimals_of_numbers_are_those_of_their_text(spark):
+    doubles = [0.0, -0.0, 0.001, 0.00099, 9999999.999, 1e7, 12.5, -1500.0, 0.0012345678901234567, 1e-25, 1e20, 123456789012345678.0, float("nan"), float("inf"), float("-inf"), None]
+    rows = [(x, None if x is None else k - 5) for k, x in enumerate(doubles)]
+    frame = spark.createDataFrame(rows, "d double, l bigint").select("d", F.col("d").cast("float").alias("f"), "l", *(F.col(c).cast("string").alias(f"{c}_text") for c in ("d", "l")), F.col("d").cast("float").cast("string").alias("f_text"))
+    for c in ("d", "f", "l"):
+        typed, text = decode(frame, field(c, decimal_().scale(1))).frame.collect(), decode(frame, field(f"{c}_text", string().to_decimal().scale(1))).frame.collect()
+        shown = lambda done: [(r["value"], [(i["code"], i["meta"] if i["code"] == "invalid_scale" else None) for i in r["issues"]]) for r in done]
+        assert shown(typed) == shown(text)
+
+
+def test_reports_run_each_binding_once(spark):
+    n = decimal_()
+    frame = spark.range(3).select((F.col("id") / 4).alias("x"))
+    decoded = decode(frame, combine(*(field("x", r) for r in (n.scale(1), n.min(1), n.max(9))))).frame.withColumn("k", F.lit(1))
+    for report in (I.summary(decoded), I.exploded(decoded, ["k"])):
+        assert report._jdf.queryExecution().optimizedPlan().toString().count("as decimal(38,18))") <= 6
+    assert {(r["pointer"], r["code"]): r["n"] for r in I.summary(decoded).collect()} == {("/x", "invalid_scale"): 1, ("/x", "out_of_range"): 3} and I.exploded(decoded, ["k"]).count() == 4

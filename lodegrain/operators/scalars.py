@@ -223,6 +223,12 @@ class FloatDecoder(NumberDecoder):
         return self._range(lambda v: (v > 0) | (v == 0) & ~_minus_zero(v), "must be negative", {"max": 0.0})
 
 
+class EqualZerosDecoder(FloatDecoder):
+    """The same rules in the order of SQL, in which -0.0 and 0.0 are equal."""
+
+    non_negative, min, max, range, negative = (getattr(NumberDecoder, n) for n in ("non_negative", "min", "max", "range", "negative"))
+
+
 def _below(v: Column, n: float) -> Column:
     """v < n in the order in which -0.0 is below 0.0."""
     return (v < F.lit(n)) | _minus_zero(v) if n == 0 and not str(float(n)).startswith("-") else v < F.lit(n)
@@ -332,8 +338,9 @@ def long_(narrow: str = "strict") -> IntDecoder:
     return IntDecoder(Scalar("long", NUMBERS, into, _variant(("BIGINT", "INT", "SMALLINT", "TINYINT"), "bigint")))
 
 
-def double_() -> FloatDecoder:
-    return FloatDecoder(Scalar("double", NUMBERS, lambda v, t: v.cast("double")))
+def double_(signed_zeros: bool = True) -> FloatDecoder:
+    """A double. Without signed zeros, rules take -0.0 and 0.0 as equal, as SQL does; the value stays as it is."""
+    return (FloatDecoder if signed_zeros else EqualZerosDecoder)(Scalar("double", NUMBERS, lambda v, t: v.cast("double")))
 
 
 def float_() -> FloatDecoder:
